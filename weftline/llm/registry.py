@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+from weftline.llm.op1_jaccard_join import op1_jaccard_join
+from weftline.llm.op4_secret_scan import op4_secret_scan
+from weftline.llm.op6_line_dedup import SQL as LINES_SQL
+from weftline.llm.op6_line_dedup import op6_line_dedup
 from weftline.llm.op8_token_counts import op8_token_counts
 from weftline.llm.op10_packing import op10_packing
 
-QUERIES = {"op8_token_counts": op8_token_counts, "op10_packing": op10_packing}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
+    "op4_secret_scan": op4_secret_scan,
+    "op6_line_dedup": op6_line_dedup,
+    "op8_token_counts": op8_token_counts,
+    "op10_packing": op10_packing,
+}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": LINES_SQL}
