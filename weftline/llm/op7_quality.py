@@ -5,7 +5,8 @@ t_0 < t_1, so a document gets its expected grade and the tail probability P(grad
 
 The model is fitted on at most `sample` labelled documents, those of smallest hashed id (a documented bound; the labels
 have the fields doc_id, quality, toxic); everything else runs over all rows. Features are the presence of hashed words
-that at least `min_df` fitted documents hold, and binned shares of capitals, digits, '!', '|' and distinct words.
+and word beginnings that at least `min_df` fitted documents hold, and binned shares of capitals, digits, '!', '|',
+other symbols and distinct words.
 Weights are a fixed-size array (2 ** BITS floats) sent to every task; scoring is one pass without a shuffle.
 
 Null or empty text: no words, scored from the thresholds and bins alone. Null ids and repeated rows pass through.
@@ -25,20 +26,25 @@ BITS = 18
 BINS = 16
 GRADES = 3
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-UPPER, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
+PREFIXES = (4, 5)
+UPPER, DIGITS, SYMBOLS = bytes(range(65, 91)), bytes(range(48, 58)), b"*%&#$<>{}~^_=+\\"
+GROUPS = 6
+#: The value of a bin's feature where words have 1: a few bins must outweigh the many words of a long document.
+BIN_VALUE = 5.0
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of all texts, each text's distinct, and offsets. Bins come first: five groups of BINS."""
+    """Feature numbers of all texts, each text's distinct, and offsets. Bins come first: GROUPS groups of BINS."""
     out, ends = [], [0]
     for a, b in portions(texts):
-        h, at = word_hashes(texts[a:b], PUNCTUATION)
-        slot = (h >> np.uint64(64 - BITS)).astype(np.int64) + 5 * BINS
+        h, at, *heads = word_hashes(texts[a:b], PUNCTUATION, PREFIXES)
+        slots = [(x >> np.uint64(64 - BITS)).astype(np.int64) + GROUPS * BINS for x in (h, *heads)]
         for k, t in enumerate(texts[a:b]):
-            own = np.unique(slot[at[k] : at[k + 1]])
+            whole, *begun = (np.unique(x[at[k] : at[k + 1]]) for x in slots)
+            own = np.unique(np.concatenate([whole, *begun]))
             n, words = max(1, len(t)), at[k + 1] - at[k]
             gone = lambda chars: len(t) - len(t.translate(None, chars))
-            shares = (gone(UPPER) / n, gone(DIGITS) / n, min(1, 8 * t.count(b"!") / n), min(1, 8 * t.count(b"|") / n), len(own) / max(1, words))
+            shares = (gone(UPPER) / n, gone(DIGITS) / n, min(1, 8 * t.count(b"!") / n), min(1, 8 * t.count(b"|") / n), min(1, 4 * gone(SYMBOLS) / n), len(whole) / max(1, words))
             out.append(np.concatenate([[g * BINS + min(BINS - 1, int(BINS * s)) for g, s in enumerate(shares)], own]))
             ends.append(ends[-1] + len(out[-1]))
     return (np.concatenate(out) if out else np.zeros(0)).astype(np.int32), np.array(ends)
@@ -55,14 +61,16 @@ class Ordinal:
         self.weights, self.thresholds = weights, thresholds
 
     @classmethod
-    def fit(cls, index: np.ndarray, ends: np.ndarray, grade: np.ndarray, min_df: int = 5, steps: int = 200, ridge: float = 2.0):
-        size = 5 * BINS + (1 << BITS)
+    def fit(cls, index: np.ndarray, ends: np.ndarray, grade: np.ndarray, min_df: int = 5, steps: int = 150, ridge: float = 2.0, bin_ridge: float = 0.02):
+        size = GROUPS * BINS + (1 << BITS)
         used = np.bincount(index, minlength=size) >= min_df
         column = np.cumsum(used) - 1
         keep = used[index]
         row = np.repeat(np.arange(len(grade)), np.diff(ends))[keep]
         col = column[index[keep]]
+        value = np.where(index[keep] < GROUPS * BINS, BIN_VALUE, 1.0)
         m, k = int(used.sum()), GRADES - 1
+        pull = np.where(np.flatnonzero(used) < GROUPS * BINS, bin_ridge, ridge)
         share = np.clip([(grade <= j).mean() for j in range(k)], 0.01, 0.99)
         first = np.log(share / (1 - share))
         # Thresholds as the first and log gaps keeps them in order.
@@ -70,7 +78,7 @@ class Ordinal:
         mean, square = np.zeros_like(p), np.zeros_like(p)
         for step in range(1, steps + 1):
             w, t = p[:m], np.cumsum(np.concatenate([p[m : m + 1], np.exp(p[m + 1 :])]))
-            eta = np.bincount(row, w[col], minlength=len(grade))
+            eta = np.bincount(row, w[col] * value, minlength=len(grade))
             edges = np.concatenate([np.full((len(grade), 1), -np.inf), t - eta[:, None], np.full((len(grade), 1), np.inf)], axis=1)
             cdf = np.where(np.isfinite(edges), sigmoid(edges), edges > 0)
             at = np.arange(len(grade))
@@ -79,11 +87,12 @@ class Ordinal:
             d_lo, d_hi = lo * (1 - lo) / prob, hi * (1 - hi) / prob
             g_eta = d_hi - d_lo  # of the negative log-likelihood by eta
             g_t = np.array([(d_lo * (grade == j + 1)).sum() - (d_hi * (grade == j)).sum() for j in range(k)])
-            g_p = np.concatenate([np.bincount(col, g_eta[row], minlength=m) + ridge * w, [g_t.sum()], np.exp(p[m + 1 :]) * np.cumsum(g_t[::-1])[::-1][1:]])
+            g_p = np.concatenate([np.bincount(col, g_eta[row] * value, minlength=m) + pull * w, [g_t.sum()], np.exp(p[m + 1 :]) * np.cumsum(g_t[::-1])[::-1][1:]])
             mean, square = 0.9 * mean + 0.1 * g_p, 0.99 * square + 0.01 * g_p**2
             p = p - 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
         weights = np.zeros(size, dtype=np.float32)
         weights[used] = p[:m]
+        weights[: GROUPS * BINS] *= BIN_VALUE
         return cls(weights, np.cumsum(np.concatenate([p[m : m + 1], np.exp(p[m + 1 :])])))
 
     def score(self, index: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -71,22 +71,25 @@ def classes(extra: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
     return lower, space
 
 
-def word_hashes(texts: list[bytes], extra: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased words of all texts, and the word offsets of each text (one more than texts)."""
+def word_hashes(texts: list[bytes], extra: bytes = b"", prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of the lower-cased words of all texts, the word offsets of each text (one more than texts), and
+    hashes of the words' first bytes for each length in prefixes."""
     lower, space = classes(extra)
     buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     begins = np.cumsum([0] + [len(t) + 1 for t in texts])
     at = np.flatnonzero(~space[buf])
     if not len(at):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
+        none = np.zeros(0, dtype=np.uint64)
+        return none, np.zeros(len(texts) + 1, dtype=np.int64), *(none for _ in prefixes)
     first = np.flatnonzero(np.diff(at, prepend=-5) > 1)
     lengths = np.diff(first, append=len(at))
     place = np.arange(len(at), dtype=np.int64) - np.repeat(first, lengths)
     size = 1 << max(8, int(lengths.max()).bit_length())
     with np.errstate(over="ignore"):
-        h = np.add.reduceat(byte_values()[lower[buf[at]]] * powers(size)[place], first)
-        h = mixed(h + lengths.astype(np.uint64) * MIX_A)
-    return h, np.searchsorted(at[first], begins)
+        each = byte_values()[lower[buf[at]]] * powers(size)[place]
+        h = mixed(np.add.reduceat(each, first) + lengths.astype(np.uint64) * MIX_A)
+        heads = [mixed(np.add.reduceat(np.where(place < n, each, np.uint64(0)), first) + np.uint64(n)) for n in prefixes]
+    return h, np.searchsorted(at[first], begins), *heads
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
