@@ -14,7 +14,7 @@ from weftline.operators import components as K
 from weftline.operators import constraints, diagnostics, ingest, sampling
 from weftline.operators import queries as Q
 from weftline.operators.sampler import ExactView, fit, initialize, sweep
-from weftline.operators.suffstats import add, leveled, suffstats
+from weftline.operators.suffstats import add, leveled
 from weftline.plans import queries as P
 from weftline.plans import store
 from weftline.plans.fixtures import orders_model
@@ -97,10 +97,10 @@ def test_samples_follow_the_mixture(spark):
 def test_fit_recovers(spark):
     data, specs = synthetic.generate(spark, 240, [K.CONTINUOUS, K.CONTINUOUS, K.CATEGORICAL, K.CYCLIC], n_views=1, n_clusters=2, separation=8.0)
     start = initialize(data.drop("truth_v0"), specs, seed=1, mode="together")
-    model, trace = fit(start, 3, seed=2, exact_every=1, kernels=("rows", "hypers"), check_every=1)
+    model, trace = fit(start, 7, seed=2, exact_every=1, kernels=("rows",), check_every=3)
     label = F.filter("parts", lambda p: p["view_id"] == 0)[0]["cluster_id"]
     ari = diagnostics.adjusted_rand_index(model.rows.join(data, "row_id").select(label.alias("a"), F.col("truth_v0").alias("b"))).first().ari
-    assert ari > 0.7 and len(trace) == 3 and trace[-1]["log_joint"] > Q.log_joint(start).first().log_joint
+    assert ari > 0.7 and len(trace) == 3 and [t["sweep"] for t in trace] == [3, 6, 7] and trace[-1]["log_joint"] > Q.log_joint(start).first().log_joint
     full = sweep(model, 5)
     constraints.assert_valid(full)
     assert {s.col_id for s in specs} == {col for _, col in full.views}
@@ -174,4 +174,3 @@ def test_convergence_edges(spark):
         diagnostics.gelman_rubin(flat.where("chain = 0"))
     same = spark.createDataFrame([(1, 1), (1, 1)], "a int, b int")
     assert diagnostics.adjusted_rand_index(same).first().ari == 1.0
-    assert suffstats is not None
