@@ -41,16 +41,17 @@ def gelman_rubin(trace: DataFrame, flag_constant: bool = False) -> DataFrame:
 
 def effective_sample_size(trace: DataFrame) -> DataFrame:
     """(metric, ess): m n / (1 + 2 sum rho), autocorrelation pooled over chains, summed over pairs of lags from 1 while the
-    pairs stay positive. A constant trace has autocorrelation 1."""
+    pairs stay positive. Chains are cut to the shortest. A constant trace has autocorrelation 1."""
     place = F.row_number().over(W.partitionBy("metric", "chain").orderBy("sweep")) - 1
+    lengths = trace.groupBy("metric", "chain").agg(F.count(F.lit(1)).alias("k")).groupBy("metric").agg(F.min("k").alias("n"), F.count(F.lit(1)).alias("m"))
     mean = F.avg("value").over(W.partitionBy("metric", "chain"))
-    t = trace.select("metric", "chain", place.alias("t"), (c("value") - mean).alias("d"), F.count(F.lit(1)).over(W.partitionBy("metric", "chain")).alias("n"))
-    xs = t.groupBy("metric", "chain", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "d"))), lambda x: x["d"]).alias("x"))  # a chain's samples
-    lagged = xs.select("metric", "chain", "n", "x", F.explode(F.sequence(F.lit(0), c("n").cast("int") - 1)).alias("lag"))
+    t = trace.withColumn("t", place).join(lengths, "metric").where(c("t") < c("n")).select("metric", "chain", "t", (c("value") - mean).alias("d"), "n", "m")
+    xs = t.groupBy("metric", "chain", "n", "m").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "d"))), lambda x: x["d"]).alias("x"))  # a chain's samples
+    lagged = xs.select("metric", "chain", "n", "m", "x", F.explode(F.sequence(F.lit(0), c("n").cast("int") - 1)).alias("lag"))
     product = F.aggregate(F.sequence(F.lit(0), c("n").cast("int") - 1 - c("lag")), F.lit(0.0), lambda a, i: a + F.get("x", i) * F.get("x", i + c("lag")))
-    acov = lagged.select("metric", "chain", "n", "lag", (product / c("n")).alias("g"))
+    acov = lagged.select("metric", "chain", "n", "m", "lag", (product / c("n")).alias("g"))
     var = F.first("g").over(W.partitionBy("metric", "chain").orderBy("lag").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    rho = acov.withColumn("r", F.when(var <= 1e-12, 1.0).otherwise(c("g") / var)).groupBy("metric", "lag").agg(F.avg("r").alias("r"), F.max("n").alias("n"), F.count(F.lit(1)).alias("m"))
+    rho = acov.withColumn("r", F.when(var <= 1e-12, 1.0).otherwise(c("g") / var)).groupBy("metric", "n", "m", "lag").agg(F.avg("r").alias("r"))
     pair = F.floor((c("lag") - 1) / 2)
     pairs = rho.where("lag > 0").groupBy("metric", "n", "m", pair.alias("pair")).agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("k"))
     kept = pairs.withColumn("low", F.min("s").over(W.partitionBy("metric").orderBy("pair").rowsBetween(W.unboundedPreceding, 0))).withColumn("s", F.when((c("low") > 0) & (c("k") == 2), c("s")).otherwise(0.0))

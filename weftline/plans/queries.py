@@ -223,7 +223,7 @@ def q_segments(spark, sf):
     return p.drop("stat_type").select(*(F.round(x, digits[x]).alias(x) if x in digits else c(x) for x in p.columns if x != "stat_type"))
 
 
-@query("fingerprint_similarity", "e AS (SELECT nation, p.chain, p.view_id, p.cluster_id, count(*) AS k FROM parts p JOIN base b ON b.row_id = p.row_id GROUP BY ALL), sh AS (SELECT nation, chain, view_id, cluster_id, k * 1.0 / sum(k) OVER (PARTITION BY nation, chain, view_id) AS p FROM e), one AS (SELECT nation, view_id, cluster_id, (sum(p) + CASE WHEN view_id = 1 THEN 1.0 / 3 ELSE 0 END) / 4 AS p FROM sh GROUP BY ALL), ns AS (SELECT DISTINCT nation FROM base), places AS (SELECT view_id, unnest(range(CASE WHEN view_id = 0 THEN 6 ELSE 3 END)) AS cluster_id FROM (VALUES (0), (1)) t(view_id)), f AS (SELECT nation, g.view_id, g.cluster_id, coalesce(p, CASE WHEN g.view_id = 1 THEN 1.0 / 12 ELSE 0 END) AS p FROM ns CROSS JOIN places g LEFT JOIN one USING (nation, view_id, cluster_id)) SELECT a.nation AS entity_a, b.nation AS entity_b, round(sum(a.p * b.p) / (sqrt(sum(a.p * a.p)) * sqrt(sum(b.p * b.p))), 6) AS similarity FROM f a JOIN f b ON b.nation = a.nation + 1 AND b.view_id = a.view_id AND b.cluster_id = a.cluster_id GROUP BY ALL")
+@query("fingerprint_similarity", "e AS (SELECT nation, p.chain, p.view_id, p.cluster_id, count(*) AS k FROM parts p JOIN base b ON b.row_id = p.row_id GROUP BY ALL), sh AS (SELECT nation, chain, view_id, cluster_id, k * 1.0 / sum(k) OVER (PARTITION BY nation, chain, view_id) AS p FROM e), one AS (SELECT nation, view_id, cluster_id, (sum(p) + CASE WHEN view_id = 1 THEN 1.0 / 3 ELSE 0 END) / 4 AS p FROM sh GROUP BY nation, view_id, cluster_id), ns AS (SELECT DISTINCT nation FROM base), places AS (SELECT view_id, unnest(range(CASE WHEN view_id = 0 THEN 6 ELSE 3 END)) AS cluster_id FROM (VALUES (0), (1)) t(view_id)), f AS (SELECT nation, g.view_id, g.cluster_id, coalesce(p, CASE WHEN g.view_id = 1 THEN 1.0 / 12 ELSE 0 END) AS p FROM ns CROSS JOIN places g LEFT JOIN one USING (nation, view_id, cluster_id)) SELECT a.nation AS entity_a, b.nation AS entity_b, round(sum(a.p * b.p) / (sqrt(sum(a.p * a.p)) * sqrt(sum(b.p * b.p))), 6) AS similarity FROM f a JOIN f b ON b.nation = a.nation + 1 AND b.view_id = a.view_id AND b.cluster_id = a.cluster_id GROUP BY ALL")
 def q_fingerprint(spark, sf):
     model = orders_model(spark, sf)
     prints = Q.fingerprints(model, model.rows.select("row_id", c("nation").alias("entity")))
@@ -265,7 +265,7 @@ def q_rhat(spark, sf):
     return diagnostics.gelman_rubin(order_trace(spark, sf)).select("metric", r6(c("rhat")).alias("rhat"))
 
 
-@query("ess", TRACE + "u AS (SELECT * FROM t WHERE sweep <= 1200), p AS (SELECT chain, row_number() OVER (PARTITION BY chain ORDER BY sweep) - 1 AS i, value - avg(value) OVER (PARTITION BY chain) AS d, count(*) OVER (PARTITION BY chain) AS n FROM u), a AS (SELECT x.chain, x.n, y.i - x.i AS lag, sum(x.d * y.d / x.n) AS g FROM p x JOIN p y ON x.chain = y.chain AND y.i >= x.i GROUP BY x.chain, x.n, y.i - x.i), r AS (SELECT lag, avg(g / v) AS r, max(len) AS n, count(*) AS m FROM (SELECT chain, n AS len, lag, g, max(CASE WHEN lag = 0 THEN g END) OVER (PARTITION BY chain) AS v FROM a) GROUP BY lag), q AS (SELECT n, m, (lag - 1) // 2 AS pair, sum(r) AS s, count(*) AS k FROM r WHERE lag > 0 GROUP BY n, m, (lag - 1) // 2), y AS (SELECT *, min(s) OVER (ORDER BY pair) AS low FROM q), z AS (SELECT n AS nn, m AS mm, CASE WHEN low > 0 AND k = 2 THEN s ELSE 0 END AS s FROM y) SELECT 'price' AS metric, round(least(max(nn) * max(mm), max(nn) * max(mm) / (1 + 2 * sum(s))), 4) AS ess FROM z")
+@query("ess", TRACE + "u AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY sweep) - 1 AS i FROM t WHERE sweep <= 1200), w AS (SELECT min(k) AS n FROM (SELECT count(*) AS k FROM u GROUP BY chain)), p AS (SELECT chain, i, n, value - avg(value) OVER (PARTITION BY chain) AS d FROM u, w WHERE i < n), a AS (SELECT x.chain, x.n, y.i - x.i AS lag, sum(x.d * y.d / x.n) AS g FROM p x JOIN p y ON x.chain = y.chain AND y.i >= x.i GROUP BY x.chain, x.n, y.i - x.i), r AS (SELECT lag, avg(g / v) AS r, max(len) AS n, count(*) AS m FROM (SELECT chain, n AS len, lag, g, max(CASE WHEN lag = 0 THEN g END) OVER (PARTITION BY chain) AS v FROM a) GROUP BY lag), q AS (SELECT n, m, (lag - 1) // 2 AS pair, sum(r) AS s, count(*) AS k FROM r WHERE lag > 0 GROUP BY n, m, (lag - 1) // 2), y AS (SELECT *, min(s) OVER (ORDER BY pair) AS low FROM q), z AS (SELECT n AS nn, m AS mm, CASE WHEN low > 0 AND k = 2 THEN s ELSE 0 END AS s FROM y) SELECT 'price' AS metric, round(least(max(nn) * max(mm), max(nn) * max(mm) / (1 + 2 * sum(s))), 4) AS ess FROM z")
 def q_ess(spark, sf):
     return diagnostics.effective_sample_size(order_trace(spark, sf).where("sweep <= 1200")).select("metric", F.round("ess", 4).alias("ess"))
 
