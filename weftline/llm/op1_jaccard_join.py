@@ -7,11 +7,16 @@ the triangle inequality a partner within t lacks at most n - ceil((1 - t) n) of
 pivots and SHARED more, and partners meet in at least SHARED regions. The order comes from counts of all shingles of all
 documents in a table of 2 ** BITS slots, whose size does not grow; wrong counts cost time only.
 
-Within the regions the second level takes documents as pivots: each region's smallest. Members that meet it in SHARED
-regions are verified against it, and links to pivots join most members of dense groups into components without pairs.
-Then regions that still hold several components are joined recursively: members of different components whose sizes fit
-and whose verified distances to a common pivot differ by at most t meet pairwise, must do so in SHARED regions, and are
-verified. Pairs inside a component are never made; they cannot change it. All pairs with a link between components are.
+Within the regions the second level takes documents as pivots: each region's hub, whose shingles are the commonest, as
+those of the original of a group of near copies are. Members are verified against it, and links to hubs join most members
+of dense groups into components without pairs. Then regions that still hold several components are joined recursively:
+members of different components whose sizes fit and whose verified distances to a common hub differ by at most t meet
+pairwise and are verified. Pairs inside a component are never made; they cannot change it. All others with a link are.
+
+Two documents of sizes n and m within t share a = ceil((1 - t) / (2 - t) * (n + m)) shingles, so of their windows at least
+k = min(a - n + w_n, a - m + w_m), and the first j of these stand before place w - k + j of either window. Rows carry
+their place, and documents meet only in regions that early, and only if they do so in j = min(SHARED, k) of them. This is
+exact, and keeps the members of a large group of copies apart where each has too much of its own.
 
 Documents with equal sets are one class from the first shuffle on (a partition sends each once). Sets are never stored:
 they are computed again from the texts of documents with candidates. Only the slot counts come to the driver.
@@ -86,29 +91,51 @@ def summaries(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def windows(docs: DataFrame, levels: np.ndarray, words: int, num: int, den: int, shared: int) -> DataFrame:
-    """(s, f, n): each class in the regions of its window's pivots; once from each partition at most."""
+    """(s, f, n, i, q): each class in the regions of its window's pivots, with its place there and the mean level of the
+    class's shingles; once from each partition at most."""
     sent = docs.sparkSession.sparkContext.broadcast(levels)
 
     def placed(batches):
         rank, seen = sent.value, set()
         for batch in batches:
-            s, f, n = [], [], []
+            s, f, n, i, q = [], [], [], [], []
             for own in sets_of(encoded(batch.column(1)), words):
                 own_f = fingerprint(own)
                 if not len(own) or own_f in seen:
                     continue
                 seen.add(own_f)
                 size = min(len(own), len(own) + num * len(own) // -den + shared)
-                key = rank[own >> np.uint64(64 - BITS)].astype(np.uint64) << np.uint64(56) | mixed(own) >> np.uint64(8)
-                s.append(own[np.argpartition(key, size - 1)[:size]])
+                level = rank[own >> np.uint64(64 - BITS)]
+                key = level.astype(np.uint64) << np.uint64(56) | mixed(own) >> np.uint64(8)
+                first = np.argpartition(key, size - 1)[:size]
+                s.append(own[first[np.argsort(key[first])]])
                 f.append(np.full(size, own_f))
                 n.append(np.full(size, len(own)))
+                i.append(np.arange(size))
+                q.append(np.full(size, int(100 * level.mean())))
             if s:
-                s, f, n = np.concatenate(s).view(np.int64), np.concatenate(f), np.concatenate(n)
-                for a in range(0, len(s), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 50_000]) for x in (s, f.astype(np.int64), n.astype(np.int32))], ["s", "f", "n"])
+                columns = [np.concatenate(x).view(np.int64) for x in (s, f)] + [np.concatenate(x).astype(np.int32) for x in (n, i, q)]
+                for a in range(0, len(columns[0]), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 50_000]) for x in columns], ["s", "f", "n", "i", "q"])
+
+    return docs.mapInArrow(placed, "s long, f long, n int, i int, q int")
+
+
+def meeting(num: int, den: int, shared: int):
+    """Conditions on sizes and places of two rows of one region (see above), and the number of regions a pair must meet in."""
+
+    def width(n):
+        return F.least(n, n - F.ceil(n * num / den) + shared)
+
+    def kept(n, m):
+        a = F.ceil((n + m) * num / (num + den))
+        return F.least(a - n + width(n), a - m + width(m))
+
+    def meets(n, i, m, j):
+        early = F.least(F.lit(shared), kept(n, m)) - kept(n, m)
+        return (den * F.least(n, m) >= num * F.greatest(n, m)) & (i < width(n) + early) & (j < width(m) + early)
 
-    return docs.mapInArrow(placed, "s long, f long, n int")
+    return meets, lambda n, m: F.least(F.lit(shared), kept(n, m))
 
 
 def with_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
@@ -149,27 +176,28 @@ def jaccard_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     shared = max(1, min(SHARED, -(-num // max(1, den - num))))
     every, levels = summaries(docs, words)
     classes = settle(every.where("n > 0").groupBy("f").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null"))
+    meets, least_regions = meeting(num, den, shared)
     region = W.partitionBy("s")
     rows = windows(docs, levels, words, num, den, shared)
-    pivot = rows.withColumn("pf", F.min("f").over(region)).withColumn("last", F.max("f").over(region)).where("pf <> last").drop("last")
+    hub = F.max(F.struct("q", "f")).over(region)
+    pivot = rows.withColumn("pf", hub["f"]).withColumn("lo", F.min("f").over(region)).withColumn("hi", F.max("f").over(region)).where("lo <> hi").select("s", "f", "n", "i", "pf")
     regions = settle(pivot.distinct())
-    sizes = regions.where("f = pf").select("s", F.col("n").alias("pn"))
-    fits = lambda a, b: den * F.least(a, b) >= num * F.greatest(a, b)
-    stars = regions.where("f <> pf").join(sizes, "s").where(fits(F.col("n"), F.col("pn"))).groupBy(F.col("pf").alias("a"), F.col("f").alias("b")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= shared).select("a", "b")
+    hubs = regions.where("f = pf").select("s", F.col("n").alias("pn"), F.col("i").alias("pi"))
+    stars = regions.where("f <> pf").join(hubs, "s").where(meets(F.col("n"), F.col("i"), F.col("pn"), F.col("pi"))).groupBy(F.col("pf").alias("a"), F.col("f").alias("b"), "pn", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least_regions(F.col("n"), F.col("pn"))).select("a", "b")
     linked = F.col("common") * den >= F.col("total") * num
     first = verified(stars, docs, classes, words)
     roots = components(first.where(linked).select("a", "b"))
     # Recursion: in what regions still hold several components, across these, past what the pivots' distances rule out.
-    named = regions.select("s", "f", "n", "pf").join(roots.select(F.col("node").alias("f"), "root"), "f", "left").withColumn("root", F.coalesce("root", "f"))
+    named = regions.join(roots.select(F.col("node").alias("f"), "root"), "f", "left").withColumn("root", F.coalesce("root", "f"))
     far = first.select(F.col("a").alias("pf"), F.col("b").alias("f"), (1 - F.col("common") / F.col("total")).alias("d"))
     named = named.join(far, ["pf", "f"], "left").withColumn("d", F.when(F.col("f") == F.col("pf"), F.lit(0.0)).otherwise(F.col("d")))
-    mixed_ = named.withColumn("lo", F.min("root").over(region)).withColumn("hi", F.max("root").over(region)).where("lo <> hi").select("s", "f", "n", "root", "d")
+    mixed_ = named.withColumn("lo", F.min("root").over(region)).withColumn("hi", F.max("root").over(region)).where("lo <> hi").select("s", "f", "n", "i", "root", "d")
     open_ = settle(mixed_)
     left, right = open_.alias("l"), open_.alias("r")
     reach = (den - num) / den + 1e-9
     apart = F.coalesce(F.abs(F.col("l.d") - F.col("r.d")) > reach, F.lit(False)) | (F.coalesce(F.least("l.d", "r.d") == 0, F.lit(False)) & F.col("l.d").isNotNull() & F.col("r.d").isNotNull())
-    pairs = left.join(right, F.col("l.s") == F.col("r.s")).where((F.col("l.f") < F.col("r.f")) & (F.col("l.root") != F.col("r.root")) & fits(F.col("l.n"), F.col("r.n")) & ~apart)
-    pairs = pairs.groupBy(F.col("l.f").alias("a"), F.col("r.f").alias("b")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= shared).select("a", "b")
+    pairs = left.join(right, F.col("l.s") == F.col("r.s")).where((F.col("l.f") < F.col("r.f")) & (F.col("l.root") != F.col("r.root")) & meets(F.col("l.n"), F.col("l.i"), F.col("r.n"), F.col("r.i")) & ~apart)
+    pairs = pairs.groupBy(F.col("l.f").alias("a"), F.col("r.f").alias("b"), F.col("l.n").alias("n"), F.col("r.n").alias("m")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least_regions(F.col("n"), F.col("m"))).select("a", "b")
     second = verified(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"), docs, classes, words)
     whole = components(first.unionByName(second).where(linked).select("a", "b"))
     # A component is named by the smallest doc_id of its classes; a class without links stands for itself.
