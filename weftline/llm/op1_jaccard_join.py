@@ -15,8 +15,9 @@ pairwise and are verified. Pairs inside a component are never made; they cannot
 
 Two documents of sizes n and m within t share a = ceil((1 - t) / (2 - t) * (n + m)) shingles, so of their windows at least
 k = min(a - n + w_n, a - m + w_m), and the first j of these stand before place w - k + j of either window. Rows carry
-their place, and documents meet only in regions that early, and only if they do so in j = min(SHARED, k) of them. This is
-exact, and keeps the members of a large group of copies apart where each has too much of its own.
+their place, and documents meet only in regions that early: hubs and members in j = min(SHARED, k) of them, others in the
+first (j = 1), whose windows as a whole must then share k. This is exact, and keeps the members of a large group of copies
+apart where each has too much of its own.
 
 Documents with equal sets are one class from the first shuffle on (a partition sends each once). Sets are never stored:
 they are computed again from the texts of documents with candidates. Only the slot counts come to the driver.
@@ -131,11 +132,11 @@ def meeting(num: int, den: int, shared: int):
         a = F.ceil((n + m) * num / (num + den))
         return F.least(a - n + width(n), a - m + width(m))
 
-    def meets(n, i, m, j):
-        early = F.least(F.lit(shared), kept(n, m)) - kept(n, m)
+    def meets(n, i, m, j, need=shared):
+        early = F.least(F.lit(need), kept(n, m)) - kept(n, m)
         return (den * F.least(n, m) >= num * F.greatest(n, m)) & (i < width(n) + early) & (j < width(m) + early)
 
-    return meets, lambda n, m: F.least(F.lit(shared), kept(n, m))
+    return meets, kept
 
 
 def with_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
@@ -176,14 +177,14 @@ def jaccard_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     shared = max(1, min(SHARED, -(-num // max(1, den - num))))
     every, levels = summaries(docs, words)
     classes = settle(every.where("n > 0").groupBy("f").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null"))
-    meets, least_regions = meeting(num, den, shared)
+    meets, kept = meeting(num, den, shared)
     region = W.partitionBy("s")
     rows = windows(docs, levels, words, num, den, shared)
     hub = F.max(F.struct("q", "f")).over(region)
     pivot = rows.withColumn("pf", hub["f"]).withColumn("lo", F.min("f").over(region)).withColumn("hi", F.max("f").over(region)).where("lo <> hi").select("s", "f", "n", "i", "pf")
     regions = settle(pivot.distinct())
     hubs = regions.where("f = pf").select("s", F.col("n").alias("pn"), F.col("i").alias("pi"))
-    stars = regions.where("f <> pf").join(hubs, "s").where(meets(F.col("n"), F.col("i"), F.col("pn"), F.col("pi"))).groupBy(F.col("pf").alias("a"), F.col("f").alias("b"), "pn", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least_regions(F.col("n"), F.col("pn"))).select("a", "b")
+    stars = regions.where("f <> pf").join(hubs, "s").where(meets(F.col("n"), F.col("i"), F.col("pn"), F.col("pi"))).groupBy(F.col("pf").alias("a"), F.col("f").alias("b"), "pn", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= F.least(F.lit(shared), kept(F.col("n"), F.col("pn")))).select("a", "b")
     linked = F.col("common") * den >= F.col("total") * num
     first = verified(stars, docs, classes, words)
     roots = components(first.where(linked).select("a", "b"))
@@ -196,8 +197,13 @@ def jaccard_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     left, right = open_.alias("l"), open_.alias("r")
     reach = (den - num) / den + 1e-9
     apart = F.coalesce(F.abs(F.col("l.d") - F.col("r.d")) > reach, F.lit(False)) | (F.coalesce(F.least("l.d", "r.d") == 0, F.lit(False)) & F.col("l.d").isNotNull() & F.col("r.d").isNotNull())
-    pairs = left.join(right, F.col("l.s") == F.col("r.s")).where((F.col("l.f") < F.col("r.f")) & (F.col("l.root") != F.col("r.root")) & meets(F.col("l.n"), F.col("l.i"), F.col("r.n"), F.col("r.i")) & ~apart)
-    pairs = pairs.groupBy(F.col("l.f").alias("a"), F.col("r.f").alias("b"), F.col("l.n").alias("n"), F.col("r.n").alias("m")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least_regions(F.col("n"), F.col("m"))).select("a", "b")
+    pairs = left.join(right, F.col("l.s") == F.col("r.s")).where((F.col("l.f") < F.col("r.f")) & (F.col("l.root") != F.col("r.root")) & meets(F.col("l.n"), F.col("l.i"), F.col("r.n"), F.col("r.i"), 1) & ~apart)
+    pairs = pairs.select(F.col("l.f").alias("a"), F.col("r.f").alias("b"), F.col("l.n").alias("n"), F.col("r.n").alias("m")).distinct()
+    # Windows whole, not only their first places, must have k regions in common; a window's regions are as many as it is wide.
+    lists = regions.groupBy("f").agg(F.collect_set("s").alias("own"))
+    for x in "ab":
+        pairs = pairs.join(lists.select(F.col("f").alias(x), F.col("own").alias(f"{x}s")), x)
+    pairs = pairs.where(F.size(F.array_intersect("as", "bs")) >= kept(F.col("n"), F.col("m"))).select("a", "b")
     second = verified(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"), docs, classes, words)
     whole = components(first.unionByName(second).where(linked).select("a", "b"))
     # A component is named by the smallest doc_id of its classes; a class without links stands for itself.
