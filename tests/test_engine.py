@@ -174,3 +174,34 @@ def test_convergence_edges(spark):
         diagnostics.gelman_rubin(flat.where("chain = 0"))
     same = spark.createDataFrame([(1, 1), (1, 1)], "a int, b int")
     assert diagnostics.adjusted_rand_index(same).first().ari == 1.0
+
+
+def brute_ess(chains):
+    """From the definition, lag by lag."""
+    n = min(map(len, chains))
+    cut = [np.array(x[:n]) - np.mean(x[:n]) for x in chains]
+    rho = [np.mean([1.0 if d @ d / n <= 1e-12 else (d[: n - k] @ d[k:]) / (d @ d) for d in cut]) for k in range(n)]
+    s = 0.0
+    for k in range(1, n - 1, 2):
+        if rho[k] + rho[k + 1] <= 0:
+            break
+        s += rho[k] + rho[k + 1]
+    return min(n * len(cut), n * len(cut) / max(1 + 2 * s, 1e-12))
+
+
+def test_ess_in_pieces(spark):
+    rng = np.random.default_rng(4)
+    walk = lambda n, a: np.array([x := a * (x if k else 0.0) + e for k, e in enumerate(rng.normal(size=n))])  # noqa: E731, F821, F841
+    data = {"noise": [rng.normal(size=90), rng.normal(size=77)], "slow": [walk(150, 0.97), walk(161, 0.97)], "trend": [np.arange(100.0), np.arange(100.0) ** 2], "flat": [np.ones(41), np.zeros(40)], "two": [[1.0, 2.0]]}
+    rows = [(ch, 7 * t, name, float(x)) for name, chains in data.items() for ch, own in enumerate(chains) for t, x in enumerate(own)]
+    trace = spark.createDataFrame(rows, "chain int, sweep long, metric string, value double").repartition(5)
+    for size in (8, 4096):
+        got = {r.metric: r.ess for r in diagnostics.effective_sample_size(trace, size).collect()}
+        assert got.keys() == data.keys() and all(math.isclose(got[k], brute_ess(data[k]), rel_tol=1e-9) for k in data)
+
+
+def test_ess_takes_all_orders(spark):
+    chains = {}
+    for r in P.order_trace(spark, SF).orderBy("sweep").collect():
+        chains.setdefault(r.chain, []).append(r.value)
+    assert math.isclose(P.q_ess(spark, SF).first().ess, brute_ess([*chains.values()]), abs_tol=1e-4)

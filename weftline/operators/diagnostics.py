@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.plans.store import settle
+
 c = F.col
 
 
@@ -39,23 +45,75 @@ def gelman_rubin(trace: DataFrame, flag_constant: bool = False) -> DataFrame:
     return s.select("metric", F.when(c("w") <= 1e-10, flat).otherwise(F.greatest(F.lit(1.0), ratio)).alias("rhat"))
 
 
-def effective_sample_size(trace: DataFrame) -> DataFrame:
+def numbered(trace: DataFrame) -> DataFrame:
+    """(metric, chain, t, value), t the place by sweep in the chain from 0: ranges of sweeps are counted, so no task holds a chain."""
+    ranged = settle(trace.select("metric", "chain", "sweep", "value").repartitionByRange("metric", "chain", "sweep").withColumn("part", F.spark_partition_id()))
+    before = F.sum("k").over(W.partitionBy("metric", "chain").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    starts = ranged.groupBy("metric", "chain", "part").agg(F.count(F.lit(1)).alias("k")).withColumn("start", F.coalesce(before, F.lit(0))).drop("k")
+    place = F.row_number().over(W.partitionBy("metric", "chain", "part").orderBy("sweep", "value")) - 1
+    return ranged.withColumn("place", place).join(starts, ["metric", "chain", "part"]).select("metric", "chain", (c("start") + c("place")).alias("t"), "value")
+
+
+def lagged_sums(pieces: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """(metric, chain, lag, g): sums of products over the pairs (metric, chain, i, j) of pieces (metric, chain, piece, x)."""
+    key = ["metric", "chain"]
+    both = pairs.join(pieces.select(*key, c("piece").alias("i"), c("x").alias("a")), [*key, "i"]).join(pieces.select(*key, c("piece").alias("j"), c("x").alias("b")), [*key, "j"])
+
+    def summed(batches):
+        held: dict[tuple, np.ndarray] = {}
+
+        def flush():
+            for (metric, chain, o), g in held.items():
+                lag = o * size + np.arange(1 - size, size)
+                keep = lag >= 0
+                n = int(keep.sum())
+                yield pa.RecordBatch.from_arrays([pa.array([metric] * n, kinds[0]), pa.array([chain] * n, kinds[1]), pa.array(lag[keep]), pa.array(g[keep])], ["metric", "chain", "lag", "g"])
+            held.clear()
+
+        for batch in batches:
+            kinds = [batch.column(0).type, batch.column(1).type]
+            for metric, chain, o, a, b in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), batch.column(4)):
+                a, b = (np.pad(x := v.values.to_numpy(zero_copy_only=False), (0, size - len(x))) for v in (a, b))
+                g = np.fft.irfft(np.conj(np.fft.rfft(a, 2 * size)) * np.fft.rfft(b, 2 * size), 2 * size)
+                held[metric, chain, o] = held.get((metric, chain, o), 0.0) + np.concatenate([g[size + 1 :], g[:size]])
+            if len(held) > 64:
+                yield from flush()
+        yield from flush()
+
+    kind = {f.name: f.dataType.simpleString() for f in pieces.schema}
+    rows = both.select(*key, (c("j") - c("i")).alias("o"), "a", "b").mapInArrow(summed, f"metric {kind['metric']}, chain {kind['chain']}, lag long, g double")
+    return rows.groupBy(*key, "lag").agg(F.sum("g").alias("g"))
+
+
+def effective_sample_size(trace: DataFrame, size: int = 4096) -> DataFrame:
     """(metric, ess): m n / (1 + 2 sum rho), autocorrelation pooled over chains, summed over pairs of lags from 1 while the
-    pairs stay positive. Chains are cut to the shortest. A constant trace has autocorrelation 1."""
-    place = F.row_number().over(W.partitionBy("metric", "chain").orderBy("sweep")) - 1
-    lengths = trace.groupBy("metric", "chain").agg(F.count(F.lit(1)).alias("k")).groupBy("metric").agg(F.min("k").alias("n"), F.count(F.lit(1)).alias("m"))
-    mean = F.avg("value").over(W.partitionBy("metric", "chain"))
-    t = trace.withColumn("t", place).join(lengths, "metric").where(c("t") < c("n")).select("metric", "chain", "t", (c("value") - mean).alias("d"), "n", "m")
-    xs = t.groupBy("metric", "chain", "n", "m").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "d"))), lambda x: x["d"]).alias("x"))  # a chain's samples
-    lagged = xs.select("metric", "chain", "n", "m", "x", F.explode(F.sequence(F.lit(0), c("n").cast("int") - 1)).alias("lag"))
-    product = F.aggregate(F.sequence(F.lit(0), c("n").cast("int") - 1 - c("lag")), F.lit(0.0), lambda a, i: a + F.get("x", i) * F.get("x", i + c("lag")))
-    acov = lagged.select("metric", "chain", "n", "m", "lag", (product / c("n")).alias("g"))
-    var = F.first("g").over(W.partitionBy("metric", "chain").orderBy("lag").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    rho = acov.withColumn("r", F.when(var <= 1e-12, 1.0).otherwise(c("g") / var)).groupBy("metric", "n", "m", "lag").agg(F.avg("r").alias("r"))
-    pair = F.floor((c("lag") - 1) / 2)
-    pairs = rho.where("lag > 0").groupBy("metric", "n", "m", pair.alias("pair")).agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("k"))
-    kept = pairs.withColumn("low", F.min("s").over(W.partitionBy("metric").orderBy("pair").rowsBetween(W.unboundedPreceding, 0))).withColumn("s", F.when((c("low") > 0) & (c("k") == 2), c("s")).otherwise(0.0))
-    total = kept.groupBy("metric", "n", "m").agg(F.sum("s").alias("s"))
+    pairs stay positive. Chains are cut to the shortest. A constant trace has autocorrelation 1.
+
+    Chains are held in pieces of `size` samples. Products of pieces at growing distances give ever longer lags, up to where
+    every metric has met a pair that is not positive, or its last lag: later lags cannot enter the sum."""
+    lengths = settle(trace.groupBy("metric", "chain").agg(F.count(F.lit(1)).alias("k")).groupBy("metric").agg(F.min("k").alias("n"), F.count(F.lit(1)).alias("m")))
+    t = settle(numbered(trace).join(lengths, "metric").where(c("t") < c("n")))
+    t = t.join(t.groupBy("metric", "chain").agg(F.avg("value").alias("mean")), ["metric", "chain"]).select("metric", "chain", "t", (c("value") - c("mean")).alias("d"))
+    pieces = settle(t.groupBy("metric", "chain", F.floor(c("t") / size).alias("piece")).agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "d"))), lambda x: F.coalesce(x["d"], F.lit(math.nan))).alias("x")))
+    found, open_, first, last = None, lengths, 0, 1
+    while True:
+        # Lags under done have all their products: those of pieces at most last apart.
+        done = last * size
+        own = pieces.join(open_.select("metric"), "metric", "left_semi")
+        pairs = own.select("metric", "chain", c("piece").alias("i"), F.explode(F.sequence(c("piece") + first, c("piece") + last)).alias("j"))
+        more = lagged_sums(own, pairs, size)
+        found = settle(more if found is None else found.unionByName(more).groupBy("metric", "chain", "lag").agg(F.sum("g").alias("g")))
+        acov = found.where(c("lag") < done).join(lengths, "metric").where(c("lag") < c("n")).withColumn("g", F.when(~F.isnan("g"), c("g") / c("n")))
+        acov = acov.join(found.where("lag = 0").join(lengths, "metric").select("metric", "chain", F.when(~F.isnan("g"), c("g") / c("n")).alias("v")), ["metric", "chain"])
+        rho = acov.withColumn("r", F.when(c("v") <= 1e-12, 1.0).otherwise(c("g") / c("v"))).groupBy("metric", "n", "m", "lag").agg(F.avg("r").alias("r"))
+        sums = rho.where("lag > 0").groupBy("metric", "n", "m", F.floor((c("lag") - 1) / 2).alias("pair")).agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("k")).where("k = 2")
+        ends = sums.where(~F.coalesce(c("s") > 0, F.lit(False))).groupBy("metric").agg(F.min("pair").alias("end"))
+        open_ = settle(lengths.where(c("n") > done).join(ends, "metric", "left_anti"))
+        if open_.isEmpty():
+            break
+        first, last = last + 1, 2 * last + 1
+    total = sums.join(ends, "metric", "left").where(c("end").isNull() | (c("pair") < c("end"))).groupBy("metric").agg(F.sum("s").alias("s"))
+    total = lengths.where("n > 1").join(total, "metric", "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
     return total.select("metric", F.least(c("n") * c("m"), c("n") * c("m") / F.greatest(1 + 2 * c("s"), F.lit(1e-12))).alias("ess"))
 
 

@@ -267,7 +267,7 @@ def q_rhat(spark, sf):
 
 @query("ess", TRACE + "u AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY sweep) - 1 AS i FROM t WHERE sweep <= 1200), w AS (SELECT min(k) AS n FROM (SELECT count(*) AS k FROM u GROUP BY chain)), p AS (SELECT chain, i, n, value - avg(value) OVER (PARTITION BY chain) AS d FROM u, w WHERE i < n), a AS (SELECT x.chain, x.n, y.i - x.i AS lag, sum(x.d * y.d / x.n) AS g FROM p x JOIN p y ON x.chain = y.chain AND y.i >= x.i GROUP BY x.chain, x.n, y.i - x.i), r AS (SELECT lag, avg(g / v) AS r, max(len) AS n, count(*) AS m FROM (SELECT chain, n AS len, lag, g, max(CASE WHEN lag = 0 THEN g END) OVER (PARTITION BY chain) AS v FROM a) GROUP BY lag), q AS (SELECT n, m, (lag - 1) // 2 AS pair, sum(r) AS s, count(*) AS k FROM r WHERE lag > 0 GROUP BY n, m, (lag - 1) // 2), y AS (SELECT *, min(s) OVER (ORDER BY pair) AS low FROM q), z AS (SELECT n AS nn, m AS mm, CASE WHEN low > 0 AND k = 2 THEN s ELSE 0 END AS s FROM y) SELECT 'price' AS metric, round(least(max(nn) * max(mm), max(nn) * max(mm) / (1 + 2 * sum(s))), 4) AS ess FROM z")
 def q_ess(spark, sf):
-    return diagnostics.effective_sample_size(order_trace(spark, sf).where("sweep <= 1200")).select("metric", F.round("ess", 4).alias("ess"))
+    return diagnostics.effective_sample_size(order_trace(spark, sf)).select("metric", F.round("ess", 4).alias("ess"))
 
 
 @query("bma_intervals", f"scored AS ({logp_sql('cells')}), m AS (SELECT row_id, chain, avg(logp) AS m FROM scored GROUP BY ALL) SELECT row_id, round(avg(m), 6) AS mean, round(least(avg(m) - 1.96*stddev_pop(m), avg(m - 1)), 6) AS lo, round(greatest(avg(m) + 1.96*stddev_pop(m), avg(m + 1)), 6) AS hi FROM m GROUP BY row_id")
