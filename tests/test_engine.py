@@ -205,3 +205,9 @@ def test_ess_takes_all_orders(spark):
     for r in P.order_trace(spark, SF).orderBy("sweep").collect():
         chains.setdefault(r.chain, []).append(r.value)
     assert math.isclose(P.q_ess(spark, SF).first().ess, brute_ess([*chains.values()]), abs_tol=1e-4)
+
+
+def test_mean_log_likelihood_takes_all_rows(spark):
+    whole = P.SQL["mean_log_likelihood"].replace("FROM cells WHERE row_id % 5 = 0", "FROM cells")
+    assert whole != P.SQL["mean_log_likelihood"]
+    assert differences(P.QUERIES["mean_log_likelihood"](spark, SF), connect(SF), whole) is None
