@@ -13,7 +13,7 @@ from weftline.functions import math as M
 from weftline.operators import components as K
 from weftline.operators import constraints, diagnostics, ingest, sampling
 from weftline.operators import queries as Q
-from weftline.operators.sampler import ExactView, fit, initialize, sweep
+from weftline.operators.sampler import ExactView, drawn_batch, fit, initialize, row_kernel_exact, sweep
 from weftline.operators.suffstats import add, leveled
 from weftline.plans import queries as P
 from weftline.plans import store
@@ -211,3 +211,26 @@ def test_mean_log_likelihood_takes_all_rows(spark):
     whole = P.SQL["mean_log_likelihood"].replace("FROM cells WHERE row_id % 5 = 0", "FROM cells")
     assert whole != P.SQL["mean_log_likelihood"]
     assert differences(P.QUERIES["mean_log_likelihood"](spark, SF), connect(SF), whole) is None
+
+
+def test_minibatch_is_the_exact_kernel_on_drawn_rows(spark):
+    model = orders_model(spark, SF)
+    labels = lambda m: {(r.row_id, r.chain, r.view_id): r.cluster_id for r in m.assigned().select("row_id", "chain", "view_id", "cluster_id").collect()}
+    order = {}
+    for r in drawn_batch(model, 12, 60).orderBy("place").collect():
+        order.setdefault((r.chain, r.view_id), []).append(r.row_id)
+    want, rows = labels(model), model.assigned().toPandas()
+    for (chain, view), pdf in rows.groupby(["chain", "view_id"]):
+        own = [s for s in model.columns if model.views[chain, s.col_id] == view]
+        names = np.unique(pdf["cluster_id"])
+        state = ExactView(pdf[[s.name for s in own]].to_numpy(dtype=float), pdf["cluster_id"].to_numpy(), own, [model.hypers[chain, s.col_id] for s in own], model.alphas.get((chain, view), 1.0))
+        at, rng = {row: i for i, row in enumerate(pdf["row_id"])}, np.random.default_rng([12, chain, view])
+        assert len(order[chain, view]) == 60
+        for row in order[chain, view]:
+            state.move(at[row], rng)
+        names = [*names, *range(names.max() + 1, names.max() + 100)]
+        want |= {(row, chain, view): names[state.z[i]] for row, i in at.items()}
+    # 1,500 rows are over the bound here, which holds for the full kernel alone.
+    assert labels(row_kernel_exact(model, 12, 60, most_rows=1000)) == want != labels(model)
+    with pytest.raises(ValueError):
+        row_kernel_exact(model, 12, most_rows=1000)

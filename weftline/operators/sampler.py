@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.math import gumbel, uniform
@@ -109,6 +110,11 @@ def row_kernel(model: Model, seed: int) -> Model:
     left = c("n_rows") - (c("candidate") == c("cluster_id")).cast("long")
     score = F.when(left > 0, F.log(left.cast("double"))).otherwise(-1e18) + c("logp") + gumbel(seed, "row_id", "chain", "view_id", "candidate")
     drawn = counted.withColumn("score", score).groupBy("row_id", "chain", "view_id").agg(F.max_by("candidate", "score").alias("cluster_id"))
+    return _moved(model, drawn)
+
+
+def _moved(model: Model, drawn: DataFrame) -> Model:
+    """The model with the clusters of drawn (row_id, chain, view_id, cluster_id) instead of the rows' own."""
     new = drawn.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("chain", "view_id"), "cluster_id"))).alias("new"))
     part = lambda p: F.struct(p["chain"].alias("chain"), p["view_id"].alias("view_id"), F.coalesce(F.try_element_at("new", F.struct(p["chain"].alias("chain"), p["view_id"].alias("view_id"))), p["cluster_id"]).alias("cluster_id"))
     rows = model.rows.join(new, "row_id", "left").withColumn("parts", F.when(c("new").isNull(), c("parts")).otherwise(F.transform("parts", part)).cast(PARTS)).drop("new")
@@ -116,13 +122,17 @@ def row_kernel(model: Model, seed: int) -> Model:
 
 
 class ExactView:
-    """Sequential collapsed Gibbs over the rows of one view, in numpy."""
+    """Sequential collapsed Gibbs over the rows of one view, in numpy. With known (n, s), the sizes and statistics of all rows'
+    clusters, x and z (places in n) may be some of the rows."""
 
-    def __init__(self, x: np.ndarray, z: np.ndarray, specs: list[ColumnSpec], hypers: list[dict], alpha: float):
+    def __init__(self, x: np.ndarray, z: np.ndarray, specs: list[ColumnSpec], hypers: list[dict], alpha: float, known: tuple[np.ndarray, list[np.ndarray]] | None = None):
         self.x, self.specs, self.hypers, self.alpha = x, specs, hypers, alpha
-        self.z = np.unique(z, return_inverse=True)[1]
-        self.n = np.bincount(self.z).astype(float)
-        self.s = [np.stack([self.stat(j, x[self.z == k, j]).sum(axis=0) for k in range(len(self.n))]) for j in range(len(specs))]
+        if known:
+            self.z, self.n, self.s = z.copy(), known[0].copy(), [s.copy() for s in known[1]]
+        else:
+            self.z = np.unique(z, return_inverse=True)[1]
+            self.n = np.bincount(self.z).astype(float)
+            self.s = [np.stack([self.stat(j, x[self.z == k, j]).sum(axis=0) for k in range(len(self.n))]) for j in range(len(specs))]
         self.edges = {j: np.concatenate([[-1e10], h["cutpoints"], [1e10]])[: s.n_levels + 1] for j, (s, h) in enumerate(zip(specs, hypers)) if s.stat_type == K.ORDINAL}
 
     def stat(self, j: int, v: np.ndarray) -> np.ndarray:
@@ -188,8 +198,10 @@ class ExactView:
 
 
 def row_kernel_exact(model: Model, seed: int, batch_size: int | None = None, most_rows: int = 200_000) -> Model:
-    """The sequential kernel, one task for each chain and view; with batch_size only that many rows move. A view's rows must
-    fit a task, so more than most_rows is an error: use row_kernel there."""
+    """The sequential kernel, one task for each chain and view; with batch_size only that many rows move, see row_kernel_batch.
+    Else a view's rows must fit a task, so more than most_rows is an error: use row_kernel there."""
+    if batch_size:
+        return row_kernel_batch(model, seed, batch_size)
     total = model.rows.count()
     if total > most_rows:
         raise ValueError(f"{total} rows: the exact kernel takes at most {most_rows}")
@@ -201,8 +213,7 @@ def row_kernel_exact(model: Model, seed: int, batch_size: int | None = None, mos
         pdf = pdf.sort_values("row_id", ignore_index=True)
         state = ExactView(pdf[[s.name for s in own]].to_numpy(dtype=float), pdf["cluster_id"].to_numpy(), own, [hypers[chain, s.col_id] for s in own], alphas.get((chain, view), 1.0))
         rng = np.random.default_rng([seed, chain, view])
-        order = rng.permutation(len(pdf))[: batch_size or len(pdf)]
-        for i in order:
+        for i in rng.permutation(len(pdf)):
             state.move(i, rng)
         pdf["cluster_id"] = np.unique(state.z, return_inverse=True)[1].astype("int32")
         return pdf[["row_id", "chain", "view_id", "cluster_id"]]
@@ -213,6 +224,53 @@ def row_kernel_exact(model: Model, seed: int, batch_size: int | None = None, mos
     return model.with_(rows=settle(model.rows.drop("parts").join(parts, "row_id").select(*model.rows.columns)))
 
 
+def drawn_batch(model: Model, seed: int, batch_size: int) -> DataFrame:
+    """assigned() of batch_size rows of each chain and view, drawn by hashes; place is the order in which they move."""
+    order = W.partitionBy("chain", "view_id").orderBy(F.xxhash64(F.lit(seed), "row_id", "chain", "view_id"), "row_id")
+    return model.assigned().withColumn("place", F.row_number().over(order)).where(c("place") <= batch_size)
+
+
+def row_kernel_batch(model: Model, seed: int, batch_size: int) -> Model:
+    """The sequential kernel over batch_size rows of each chain and view. A task gets these rows and the statistics of all
+    clusters, not the other rows. Clusters keep their numbers; emptied ones are filled again before new numbers are used."""
+    specs, hypers, alphas, views = model.columns, model.hypers, model.alphas, model.views
+    names = [s.name for s in specs]
+    batch = drawn_batch(model, seed, batch_size).select("row_id", *CLUSTER, "place", *(c(f"`{n}`").cast("double").alias(n) for n in names))
+    stats = sizes(model).join(suffstats(model).select(*CLUSTER, "col_id", "n", "sx", "sxx", "ssin", "scos", "counts"), [*CLUSTER], "left")
+
+    def of(s: ColumnSpec, own) -> np.ndarray:
+        """Rows of ExactView.stat, summed, from rows of suffstats."""
+        if s.stat_type == K.CONTINUOUS:
+            return own[["n", "sx", "sxx"]].to_numpy(dtype=float)
+        if s.stat_type == K.CYCLIC:
+            return own[["n", "ssin", "scos"]].to_numpy(dtype=float)
+        if s.stat_type == K.BINARY:
+            ones = own["sx"].to_numpy(dtype=float)
+            return np.column_stack([own["n"].to_numpy(dtype=float) - ones, ones, np.zeros((len(own), max(2, s.n_levels) - 2))])
+        return np.stack([np.asarray(x, dtype=float) for x in own["counts"]])
+
+    def run(key, rows, known):
+        chain, view = (int(x) for x in key)
+        own = [s for s in specs if views[chain, s.col_id] == view]
+        rows = rows.sort_values("place", ignore_index=True)
+        known = known.sort_values("cluster_id")
+        by = {k: g for k, g in known.groupby("col_id")}
+        first = known.drop_duplicates("cluster_id")
+        labels = first["cluster_id"].to_numpy()
+        z = np.searchsorted(labels, rows["cluster_id"].to_numpy())
+        state = ExactView(rows[[s.name for s in own]].to_numpy(dtype=float), z, own, [hypers[chain, s.col_id] for s in own], alphas.get((chain, view), 1.0), (first["n_rows"].to_numpy(dtype=float), [of(s, by[s.col_id]) for s in own]))
+        rng = np.random.default_rng([seed, chain, view])
+        for i in range(len(rows)):
+            state.move(i, rng)
+        labels = np.concatenate([labels, labels.max() + 1 + np.arange(len(state.n) - len(labels))])
+        rows["cluster_id"] = labels[state.z].astype("int32")
+        return rows[["row_id", "chain", "view_id", "cluster_id"]]
+
+    by = ("chain", "view_id")
+    moved = batch.groupBy(*by).cogroup(stats.groupBy(*by)).applyInPandas(run, "row_id long, chain int, view_id int, cluster_id int")
+    return _moved(model, moved)
+
+
 # --- columns, hyper-parameters, concentrations ---------------------------------------------------------------------
 
 
