@@ -234,3 +234,9 @@ def test_minibatch_is_the_exact_kernel_on_drawn_rows(spark):
     assert labels(row_kernel_exact(model, 12, 60, most_rows=1000)) == want != labels(model)
     with pytest.raises(ValueError):
         row_kernel_exact(model, 12, most_rows=1000)
+
+
+def test_row_constraints_take_all_rows(spark):
+    whole = P.SQL["row_constraints"].replace("FROM base WHERE row_id % 3 = 0", "FROM base")
+    assert whole != P.SQL["row_constraints"]
+    assert differences(P.QUERIES["row_constraints"](spark, SF), connect(SF), whole) is None
