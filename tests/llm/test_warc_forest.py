@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm import op5_warc as op5
-from weftline.llm.op9_hash_forest import op9_hash_forest, search
+from weftline.llm.op9_hash_forest import best_hits, op9_hash_forest, search
 
 SF = "/root/testdata/sf0.001"
 
@@ -115,3 +115,8 @@ def test_whole_and_small(spark):
     assert search(spark.createDataFrame([], shape), F.lit(True)).count() == 0
     few = search(spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.5, 0.5])], shape), F.col("vec_id") <= 2, k=20).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in few) == [(1, 1, 2), (1, 2, 3), (2, 1, 1), (2, 2, 3)]
+
+
+def test_depth_counts_every_hit(spark):
+    hits = spark.createDataFrame([(1, 10, 0.9, 3), (1, 10, 0.9, 2), (1, 11, 0.1, 9), (2, 10, 0.5, 4)], "query_id long, rep long, score double, deep int")
+    assert sorted(map(tuple, best_hits(hits).collect())) == [(1, 10, 0.9, 9), (1, 11, 0.1, 9), (2, 10, 0.5, 4)]

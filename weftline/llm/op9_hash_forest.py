@@ -77,6 +77,12 @@ def in_bucket(q_hash, v_hash, enough: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def best_hits(hits: DataFrame) -> DataFrame:
+    """One row for each (query_id, rep), with its score and the depth that the query reached in any tree."""
+    best = hits.groupBy("query_id", "rep").agg(F.max("score").alias("score"), F.max("deep").alias("deep"))
+    return best.withColumn("deep", F.max("deep").over(W.partitionBy("query_id")))
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 24, bucket: int = 512, enough: int = 256, miss: float = 0.03, most: int = 8192, block: int = 20_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found. is_query is an expression over the column vec_id."""
     spark = vectors.sparkSession
@@ -139,7 +145,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 24, b
         return pa.table([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.float64(), pa.int32()))], ["query_id", "rep", "score", "deep"])
 
     hits = q_side.groupBy(*key).cogroup(v_side.groupBy(*key)).applyInArrow(matched, "query_id long, rep long, score double, deep int")
-    hits = hits.groupBy("query_id", "rep").agg(F.max("score").alias("score"), F.max("deep").alias("deep"))
+    hits = best_hits(hits)
 
     def ranked(df: DataFrame) -> DataFrame:
         """The k nearest ids from classes found: members of a class stand in for its representative."""
