@@ -57,3 +57,11 @@ def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 130)] + [(200, 201), (203, 202), (201, 202), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components(links).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, **{i: 100 for i in range(100, 130)}, **{i: 200 for i in range(200, 204)}}
+
+
+def test_one_id_with_two_texts(spark):
+    words = [f"w{k}" for k in range(40)]
+    a, b, near = " ".join(words), " ".join(f"v{k}" for k in range(40)), " ".join([*words, "more"])
+    for rows in ([(5, a), (5, b), (7, near)], [(5, b), (5, a), (7, near)]):
+        got = jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 4, 85, 100).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(5, 5), (5, 5), (7, 5)]

@@ -140,14 +140,14 @@ def meeting(num: int, den: int, shared: int):
 
 
 def with_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """(f, own): the sets of the classes in needed (f, doc_id), from their documents' texts."""
+    """(f, own): the sets of the classes in needed (f, doc_id), from their documents' texts; other texts under the same id are passed over."""
     few = needed.limit(SENT_IDS + 1).count() <= SENT_IDS
     chosen = docs.join(F.broadcast(needed) if few else needed, "doc_id").select("f", "text")
 
     def computed(batches):
         for batch in batches:
-            sets = [x.tobytes() for x in sets_of(encoded(batch.column(1)), words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["f", "own"])
+            own = [(f, x.tobytes()) for f, x in zip(batch.column(0).to_pylist(), sets_of(encoded(batch.column(1)), words)) if fingerprint(x) == f]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in own], pa.int64()), pa.array([x for _, x in own], pa.binary())], ["f", "own"])
 
     return settle(chosen.mapInArrow(computed, "f long, own binary").dropDuplicates(["f"]))
 
