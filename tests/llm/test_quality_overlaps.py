@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from tests.llm.cases import SCHEMA, documents
-from weftline.llm.op2_decontamination import Seeds, best_segment, decontaminate
+from weftline.llm.op2_decontamination import Seeds, best_segment, decontaminate, widest_segment
 from weftline.llm.op7_quality import Ordinal, features, fit_quality, score_quality
 
 SF = "/root/testdata/sf0.01"
@@ -76,3 +76,26 @@ def test_hits_and_segments():
     known = Seeds([(1, "a b c d e f g h i j k l m n")])
     start, item = known.diagonals(Seeds([(0, "x y a b c d e f g h i j k l m n")]).words[0])
     assert start.tolist() == [2] and item.tolist() == [0]
+
+
+def test_runs_within_a_weak_segment(spark):
+    differs = lambda n: [k % 9 in (4, 8) for k in range(n)]  # noqa: E731 # runs of 4 and 3 between substitutions
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in (22, 58, 184)}
+    docs = [(n, " ".join("x" if d else w for d, w in zip(differs(n), own))) for n, own in items.items()]
+    apart = [f"a{k}" for k in range(30)]
+    # Two substitutions in twelve words, and far off a run of nine that is better by itself but too short.
+    docs.append((30, " ".join([*apart[:5], "x", *apart[6:9], "x", *apart[10:12], *"xxxxxxxxx", *apart[21:]])))
+    docs.append((1, " ".join(f"z{k}" for k in range(20))))
+    bench = [(n, " ".join(own)) for n, own in items.items()] + [(30, " ".join(apart)), (None, docs[-1][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: [x.item_id for x in r.overlaps] for r in decontaminate(df, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == {22: [22], 58: [58], 184: [184], 30: [30], 1: [None]}
+
+
+def test_widest_segment_is_brute_force():
+    rng = np.random.default_rng(3)
+    for n in range(1, 40):
+        equal = rng.random(n) < rng.choice([0.5, 0.75, 0.9])
+        lo, hi = widest_segment(equal, 0.8)
+        most = max(int(equal[a:b].sum()) for a in range(n) for b in range(a + 1, n + 1) if equal[a:b].sum() >= 0.8 * (b - a) - 1e-9 or b == a + 1)
+        assert equal[lo:hi].sum() == most and most >= 0.8 * (hi - lo) - 1e-9

@@ -2,15 +2,15 @@
 
 A fixed mask over word positions hashes the words at its ones and ignores those at its zeros, so a substituted word at a
 zero does not hide a hit. Seeds of the benchmark are joined with seeds at every position of every document; each hit
-names a diagonal (document place minus item place), on which the overlap is verified word by word: the best segment
-under +1 for an equal and -3 for a differing word must hold `min_words` equal words (all, in a shorter item) at a share
-of `min_share`. Items shorter than the masks get one mask of their own length.
+names a diagonal (document place minus item place), on which the overlap is verified word by word: a segment must hold
+`min_words` equal words (all, in a shorter item) at a share of `min_share`. That is the best segment under +1 for an
+equal and -3 for a differing word where it does, else the one of most equal words at that share. Items shorter than the masks get one mask of their own length.
 
 The benchmark is cut into blocks of about `block_mb` MB by hashed text; each block's sorted seeds are sent to all tasks
 and every block meets every document, so any benchmark size is exact and what is sent stays bounded. Documents are not
 shuffled. Hits on a diagonal are verified once; nothing is capped.
 
-Null or empty texts and items without words match nothing. Items of equal text count as one, under the smallest item_id.
+Null or empty texts and items without words match nothing. Items without an id are searched and named null. Items of equal text count as one, under the smallest item_id.
 Repeated documents and null ids pass through, one result for each row. An empty benchmark leaves every document clean.
 """
 
@@ -49,10 +49,20 @@ def best_segment(equal: np.ndarray, penalty: int = 3) -> tuple[int, int]:
     return int(total[: to + 1].argmin()), to
 
 
+def widest_segment(equal: np.ndarray, share: float) -> tuple[int, int]:
+    """[from, to) of the segment with most equal words at a share of at least `share`, without a differing word at its ends."""
+    held = np.concatenate([[0], np.cumsum(equal)])
+    over = held - share * np.arange(len(held))
+    lo = np.searchsorted(-np.minimum.accumulate(over), -(over + 1e-9))  # the first start from which each end holds the share
+    to = int((held - held[lo]).argmax())
+    start = int(lo[to])
+    return start + int(equal[start:to].argmax()) if to > start else start, to
+
+
 class Seeds:
     """Sorted seeds of a block of items for each mask, and the items' words."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int | None, str]]):
         texts = [(t or "").encode() for _, t in items]
         words, at = word_hashes(texts, PUNCTUATION)
         self.ids = [i for i, _ in items]
@@ -104,9 +114,13 @@ class Seeds:
             own = self.words[n]
             a, b = max(0, -start), min(len(own), len(words) - start)
             equal = own[a:b] == words[start + a : start + b]
+            need = min(min_words, len(own))
             lo, hi = best_segment(equal)
             matched = int(equal[lo:hi].sum())
-            if matched >= min(min_words, len(own)) and matched >= min_share * (hi - lo) and (n not in best or matched > best[n]["matched"]):
+            if matched < need or matched < min_share * (hi - lo):
+                lo, hi = widest_segment(equal, min_share)
+                matched = int(equal[lo:hi].sum())
+            if matched >= need and (n not in best or matched > best[n]["matched"]):
                 best[n] = {"item_id": self.ids[n], "matched": matched, "words": hi - lo, "doc_start": start + a + lo, "item_start": a + lo}
         return [best[n] for n in sorted(best)]
 
@@ -135,7 +149,7 @@ def overlaps_with(benchmark: DataFrame, text: Column, min_words: int = 10, min_s
     found = F.array().cast(HITS_DDL)
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
-        rows = sorted((i, t) for t, i in block.toLocalIterator() if i is not None)
+        rows = sorted(((i, t) for t, i in block.toLocalIterator()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         if not rows:
             continue
         sent = benchmark.sparkSession.sparkContext.broadcast(Seeds(rows))
