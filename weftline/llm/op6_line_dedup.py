@@ -2,8 +2,8 @@
 
 Each batch of documents becomes a run: its distinct line hashes, sorted, with the number of documents that hold the line
 and the largest doc_id among them. Runs of one level are compacted into one of the next when `fan` of them have
-gathered; counts add up and maxima combine, since a document belongs to one batch. Lines are then merge-anti-joined with
-what the runs say: a long line held by enough documents goes everywhere but in the largest doc_id.
+gathered; counts add up and maxima combine, since a document belongs to one batch. A batch does not meet the earlier runs:
+all runs are grouped at the end, and lines are joined with that; SortedRuns.unseen is not used here. A long line held by enough documents goes everywhere but in the largest doc_id.
 
 A hash is two 64-bit words. A line held by a third of all documents is counted by partial aggregates, and the join back
 is one that adaptive execution can split. Texts are shuffled once; hashes of a document gather in that document's row.
