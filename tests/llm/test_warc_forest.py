@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm import op5_warc as op5
-from weftline.llm.op9_hash_forest import best_hits, op9_hash_forest, search
+from weftline.llm.op9_hash_forest import Hashing, op9_hash_forest, search
 
 SF = "/root/testdata/sf0.001"
 
@@ -94,7 +94,7 @@ def test_recall(spark, block, most):
     rows = [(int(i), [float(x) for x in r], 1) for i, r in zip(ids, v)]
     rows += [(90_000, None, 1), (90_020, [0.0] * 24, 1), (90_040, [1.0] * 23 + [None], 1), (90_060, [float("nan")] * 24, 1), (90_080, [float("inf")] * 24, 1), (None, [1.0] * 24, 1), rows[0]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rep int")
-    found = search(df, F.col("vec_id") % 20 == 0, k=5, trees=16, bucket=64, enough=48, block=block, most=most).collect()
+    found = search(df, F.col("vec_id") % 20 == 0, k=5, bucket=64, enough=48, block=block, most=most).collect()
     got = {}
     for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
@@ -117,6 +117,36 @@ def test_whole_and_small(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in few) == [(1, 1, 2), (1, 2, 3), (2, 1, 1), (2, 2, 3)]
 
 
-def test_depth_counts_every_hit(spark):
-    hits = spark.createDataFrame([(1, 10, 0.9, 3), (1, 10, 0.9, 2), (1, 11, 0.1, 9), (2, 10, 0.5, 4)], "query_id long, rep long, score double, deep int")
-    assert sorted(map(tuple, best_hits(hits).collect())) == [(1, 10, 0.9, 9), (1, 11, 0.1, 9), (2, 10, 0.5, 4)]
+@pytest.mark.parametrize("kind", ["noise", "clusters"])
+def test_the_forest_answers(spark, kind):
+    """Twenty thousand vectors: few queries go to all rows, and what the trees give holds against brute force."""
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal((20_000, 64))
+    if kind == "clusters":
+        v = rng.standard_normal((200, 64))[rng.integers(200, size=20_000)] + 0.3 * v
+    df = spark.createDataFrame(zip(range(len(v)), v.tolist()), "vec_id long, embedding array<double>").repartition(4)
+    report = []
+    found = search(df, F.col("vec_id") % 100 == 0, report=report).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = brute(np.arange(len(v)), v, range(0, 20_000, 100), 20)
+    print(kind, "queries", report[0], "of them held against all rows", report[1], "recall", recall(got, want))
+    assert report[0] == 200 and report[1] < 0.05 * report[0] and recall(got, want) >= 0.9 and len(found) == 4000
+
+
+def test_descents():
+    known = Hashing(40, 3)
+    x = np.random.default_rng(2).standard_normal((50, 40))
+    order, cost, h = known.branches(x, 3)
+    assert (h == known.strings(x, 3)).all()
+    for deep in (1, 5, 6, 7, 20, 48):
+        met = Hashing.descents(order, cost, h, deep)
+        assert met.shape == (50, 3, 3) and (met[..., 0] == h >> (48 - deep)).all() and met.min() >= 0 and met.max() < 1 << deep
+
+
+def test_norms_beyond_squares(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [2e-200, 0.0]), (3, [0.0, 1e200]), (3, [0.0, 1e-200]), (4, [5.0]), (4, [0.0, 0.0])]
+    got = search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 3).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(1, 1, 0.0), (2, 2, 0.0)]
+    assert search(spark.createDataFrame(rows[-1:], "vec_id long, embedding array<double>"), F.lit(True)).count() == 0
