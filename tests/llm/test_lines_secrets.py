@@ -44,11 +44,31 @@ def test_lines(spark):
 
 def test_runs(spark):
     runs = SortedRuns(fan=2)
-    for b in range(5):
-        runs.add(spark.createDataFrame([(b, h, h) for h in range(b, b + 3)], "doc_id long, h1 long, h2 long"))
+    shape = "h1 long, h2 long, docs long, top long"
+    for b in range(4, -1, -1):  # ids fall from batch to batch
+        runs.add(spark.createDataFrame([(h, h, 1, b) for h in range(b, b + 3)], shape))
     assert [len(level) for level in runs.levels] == [1, 0, 1]
+    assert sorted(r.h1 for run in runs.runs() for r in run.collect()) == list(range(7))  # no hash in two runs
     assert {r.h1: (r.docs, r.top) for r in runs.state().collect()} == {0: (1, 0), 1: (2, 1), 2: (3, 2), 3: (3, 3), 4: (3, 4), 5: (2, 4), 6: (1, 4)}
-    assert [r.h1 for r in runs.unseen(spark.createDataFrame([(9, 3, 3), (9, 8, 8)], "doc_id long, h1 long, h2 long")).collect()] == [8]
+    batch = spark.createDataFrame([(3, 3, 1, 9), (8, 8, 1, 9)], shape)
+    assert [r.h1 for r in runs.unseen(batch).collect()] == [8] and [r.h1 for r in runs.seen(batch).collect()] == [3]
+    assert "LeftAnti" in runs.unseen(batch)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shared_and_missing_ids(spark):
+    line = "a line that is long enough to be looked at by everyone"
+    texts = [(1, line), (1, f"x\n{line}"), (2, line), (2, line), (3, f"{line}\n{line}\ny"), (None, line), (None, f"{line}\n"), (None, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    done = sorted(((r.doc_id or 0, r.text, r.n_lines, r.n_dropped) for r in dedup_lines(df, min_docs=4).collect()))
+    assert done == [(0, "", 1, 0), (0, "", 1, 1), (0, "", 2, 1), (1, "", 1, 1), (1, "x", 2, 1), (2, "", 1, 1), (2, "", 1, 1), (3, texts[4][1], 3, 0)]
+    assert all(not r.n_dropped for r in dedup_lines(df, min_docs=5).collect())  # ids 1, 2, 3 and one for all without
+
+
+def test_a_text_of_many_lines(spark):
+    many = "\n".join(f"this is line number {k:06d} of a very long document" for k in range(200_000))
+    df = spark.createDataFrame([(d, many) for d in range(5)] + [(9, "short")], "doc_id long, text string").repartition(6)
+    done = {r.doc_id: (r.n_lines, r.n_dropped, len(r.text)) for r in dedup_lines(df).collect()}
+    assert done == {**{d: (200_000, 200_000, 0) for d in range(4)}, 4: (200_000, 0, len(many)), 9: (1, 0, 5)}
 
 
 SECRETS = [
