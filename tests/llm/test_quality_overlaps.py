@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
+import pytest
 
 from tests.llm.cases import SCHEMA, documents
 from weftline.llm.op2_decontamination import Seeds, best_segment, decontaminate, widest_segment
@@ -39,6 +41,23 @@ def test_quality_held_out(spark):
     assert np.mean(clean) > 0.9 and np.mean(poor) < 0.2 and np.mean(toxic) < 0.7
 
 
+@pytest.mark.parametrize("sf,good,poor,toxic", [("sf0.01", 0.96, 0.2, 0.35), ("sf0.1", 0.98, 0.1, 0.1)])
+def test_quality_by_folds(sf, good, poor, toxic):
+    """Every label held out once; with a few hundred labels some fifty are toxic and some fifty poor."""
+    docs, labels = (pq.read_table(f"/root/testdata/{sf}/{name}.parquet").to_pandas() for name in ("documents", "labels"))
+    texts = docs.set_index("doc_id").text.loc[labels.doc_id]
+    grade = np.where(labels.toxic == 1, 0, np.where(labels.quality == 0, 1, 2))
+    index, ends = features([(t or "").encode() for t in texts])
+    part = lambda rows: (np.concatenate([index[ends[i] : ends[i + 1]] for i in rows]), np.cumsum([0] + [ends[i + 1] - ends[i] for i in rows]))
+    kept = np.zeros(len(grade), dtype=bool)
+    for fold in range(4):
+        out = labels.doc_id.to_numpy() % 4 == fold
+        kept[out] = Ordinal.fit(*part(np.flatnonzero(~out)), grade[~out]).score(*part(np.flatnonzero(out)))[1] >= 0.5
+    shares = [kept[grade == g].mean() for g in (2, 1, 0)]
+    print(sf, "kept of good, poor, toxic:", shares)
+    assert shares[0] > good and shares[1] < poor and shares[2] < toxic
+
+
 def test_quality_edges(spark):
     rows = spark.createDataFrame(documents(), SCHEMA)
     none = score_quality(rows, fit_quality(rows, spark.createDataFrame([], "doc_id long, quality int, toxic int")))

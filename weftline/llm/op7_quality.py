@@ -5,7 +5,8 @@ t_0 < t_1, so a document gets its expected grade and the tail probability P(grad
 
 The model is fitted on at most `sample` labelled documents, those of smallest hashed id (a documented bound; the labels
 have the fields doc_id, quality, toxic); everything else runs over all rows. Features are the presence of hashed words
-and word beginnings that at least `min_df` fitted documents hold, and binned shares of capitals, digits, '!', '|',
+and word beginnings that at least `min_df` fitted documents hold, penalised the less the more they go with the grade (so
+that a few hundred labels are enough to tell insults from chance), and binned shares of capitals, digits, '!', '|',
 other symbols and distinct words.
 Weights are a fixed-size array (2 ** BITS floats) sent to every task; scoring is one pass without a shuffle.
 
@@ -31,6 +32,8 @@ UPPER, DIGITS, SYMBOLS = bytes(range(65, 91)), bytes(range(48, 58)), b"*%&#$<>{}
 GROUPS = 6
 #: The value of a bin's feature where words have 1: a few bins must outweigh the many words of a long document.
 BIN_VALUE = 5.0
+#: Squared z scores up to CHANCE are what random words of a few thousand reach; LEAST bounds the penalty of those.
+CHANCE, LEAST = 9.0, 0.05
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +64,7 @@ class Ordinal:
         self.weights, self.thresholds = weights, thresholds
 
     @classmethod
-    def fit(cls, index: np.ndarray, ends: np.ndarray, grade: np.ndarray, min_df: int = 5, steps: int = 150, ridge: float = 2.0, bin_ridge: float = 0.02):
+    def fit(cls, index: np.ndarray, ends: np.ndarray, grade: np.ndarray, min_df: int = 3, steps: int = 150, ridge: float = 6.0, bin_ridge: float = 0.02):
         size = GROUPS * BINS + (1 << BITS)
         used = np.bincount(index, minlength=size) >= min_df
         column = np.cumsum(used) - 1
@@ -70,7 +73,11 @@ class Ordinal:
         col = column[index[keep]]
         value = np.where(index[keep] < GROUPS * BINS, BIN_VALUE, 1.0)
         m, k = int(used.sum()), GRADES - 1
-        pull = np.where(np.flatnonzero(used) < GROUPS * BINS, bin_ridge, ridge)
+        # A word is held back the less, the more its presence goes with the grade: by its squared z score over that of chance.
+        held = np.bincount(col, minlength=m).astype(float)
+        spread = grade - grade.mean()
+        z2 = np.bincount(col, spread[row], minlength=m) ** 2 / np.maximum(spread.var() * held * (1 - held / len(grade)), 1e-9)
+        pull = np.where(np.flatnonzero(used) < GROUPS * BINS, bin_ridge, ridge / np.maximum(z2 - CHANCE, LEAST))
         share = np.clip([(grade <= j).mean() for j in range(k)], 0.01, 0.99)
         first = np.log(share / (1 - share))
         # Thresholds as the first and log gaps keeps them in order.
