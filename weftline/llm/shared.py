@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 MIX_A = np.uint64(0x9E3779B97F4A7C15)
 MIX_B = np.uint64(0xC2B2AE3D27D4EB4F)
 STEP = 0x100000001B3
+PIECE = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and cut its lineage; files go when df is collected."""
+    """Write df to the shared checkpoint folder and cut its lineage. The files stay until the folder goes, or, with
+    spark.cleaner.referenceTracking.cleanCheckpoints, until the driver lets go of df."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -73,23 +75,43 @@ def classes(extra: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: list[bytes], extra: bytes = b"", prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """64-bit hashes of the lower-cased words of all texts, the word offsets of each text (one more than texts), and
-    hashes of the words' first bytes for each length in prefixes."""
+    hashes of the words' first bytes for each length in prefixes. Bytes are looked at PIECE at a time, words of any length."""
     lower, space = classes(extra)
     buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     begins = np.cumsum([0] + [len(t) + 1 for t in texts])
-    at = np.flatnonzero(~space[buf])
-    if not len(at):
-        none = np.zeros(0, dtype=np.uint64)
-        return none, np.zeros(len(texts) + 1, dtype=np.int64), *(none for _ in prefixes)
-    first = np.flatnonzero(np.diff(at, prepend=-5) > 1)
-    lengths = np.diff(first, append=len(at))
-    place = np.arange(len(at), dtype=np.int64) - np.repeat(first, lengths)
-    size = 1 << max(8, int(lengths.max()).bit_length())
+    starts, sizes, sums = [], [], [[] for _ in (0, *prefixes)]
+    open_ = 0  # bytes so far of a word that a piece has cut
     with np.errstate(over="ignore"):
-        each = byte_values()[lower[buf[at]]] * powers(size)[place]
-        h = mixed(np.add.reduceat(each, first) + lengths.astype(np.uint64) * MIX_A)
-        heads = [mixed(np.add.reduceat(np.where(place < n, each, np.uint64(0)), first) + np.uint64(n)) for n in prefixes]
-    return h, np.searchsorted(at[first], begins), *heads
+        for a in range(0, len(buf), PIECE):
+            piece = buf[a : a + PIECE]
+            at = np.flatnonzero(~space[piece])
+            if len(at):
+                first = np.flatnonzero(np.diff(at, prepend=-5) > 1)
+                lengths = np.diff(first, append=len(at))
+                place = np.arange(len(at), dtype=np.int64) - np.repeat(first, lengths)
+                each = byte_values()[lower[piece[at]]] * powers(1 << max(8, int(lengths.max()).bit_length()))[place]
+                own = [np.add.reduceat(each, first)] + [np.add.reduceat(np.where(place < n, each, np.uint64(0)), first) for n in prefixes]
+                begun = at[first] + a
+                if open_ and at[0] == 0:  # the rest of the word before
+                    rest = [np.where(place[: lengths[0]] + open_ < n, each[: lengths[0]], np.uint64(0)).sum(dtype=np.uint64) for n in prefixes]
+                    for column, more in zip(sums, [own[0][0], *rest]):
+                        column[-1][-1] += more * np.uint64(pow(STEP, open_, 1 << 64))
+                    sizes[-1][-1] += lengths[0]
+                    own, begun, kept = [x[1:] for x in own], begun[1:], lengths[1:]
+                else:
+                    kept = lengths
+                if len(kept):
+                    starts.append(begun)
+                    sizes.append(kept)
+                    for column, x in zip(sums, own):
+                        column.append(x)
+            open_ = int(sizes[-1][-1]) if len(at) and at[-1] == len(piece) - 1 else 0
+        if not starts:
+            none = np.zeros(0, dtype=np.uint64)
+            return none, np.zeros(len(texts) + 1, dtype=np.int64), *(none for _ in prefixes)
+        whole, *heads = (np.concatenate(x) for x in sums)
+        h = mixed(whole + np.concatenate(sizes).astype(np.uint64) * MIX_A)
+        return h, np.searchsorted(np.concatenate(starts), begins), *(mixed(x + np.uint64(n)) for x, n in zip(heads, prefixes))
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
