@@ -1,11 +1,13 @@
 """Line dedup and secret scan against plain Python."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
 from tests.llm.cases import SCHEMA, documents
-from weftline.llm.op4_secret_scan import scan_secrets, op4_secret_scan
+from weftline.llm.op4_secret_scan import BLANK, KINDS, op4_secret_scan, scan_secrets
+from weftline.llm.op4_secret_scan import PATTERNS as SCAN
 from weftline.llm.op6_line_dedup import SortedRuns, dedup_lines, op6_line_dedup
 
 SF = "/root/testdata/sf0.001"
@@ -106,3 +108,41 @@ def test_secrets_whole(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[1] == k for x in base) for k in range(3))
         assert r.base_sha256 == hashlib.sha256(",".join(f"{x[3]}:{x[0]}:{x[2]}" for x in base).encode()).hexdigest()
         assert {f"{x[3]}:{x[0]}:{x[2]}" for x in base} <= set(r.spans.split(","))
+
+
+def linked_by_hand(t, reach=200):
+    """Pairwise: every candidate against every other part of its block."""
+    spans = [x[:3] for x in base_by_hand(t)]
+    spans += [(m.start(), k, m.end()) for k, kind in enumerate(KINDS) if k > 2 for m in re.finditer(SCAN[kind], t)]
+    starts = [0, *(m.end() for m in re.finditer(BLANK, t))]
+    block = lambda x: max(s for s in starts if s <= x[0])
+    out = []
+    for c in spans:
+        others = [x for x in spans if x != c and block(x) == block(c)]
+        near = lambda kinds, d: any((c[0] - x[2] if x[:2] < c[:2] else x[0] - c[2]) < d for x in others if x[1] in kinds)  # noqa: B023, E731
+        ids, secrets = near((1, 3), reach), near((0, 2, 4), reach)
+        if c[1] > 2 and not near((0, 1, 2), 0) and (secrets, ids, ids and secrets)[c[1] - 3]:
+            out.append(c)
+    return sorted(out)
+
+
+def test_links_by_hand(spark):
+    rng = random.Random(4)
+    make = [
+        lambda: "".join(rng.choices("ABCDEF0123456789", k=rng.randint(14, 34))), lambda: "".join(rng.choices("aBcD01+/", k=40)), lambda: f"https://h{rng.randrange(99)}.example/p",
+        lambda: f"{rng.choice(['password', 'API_KEY', 'token'])}{rng.choice([' = ', ':', '='])}{'ab12' * rng.randint(1, 4)}", lambda: "AKIA" + "Z9" * rng.randint(4, 9), lambda: "0af" * rng.randint(9, 14),
+        lambda: "\n\n", lambda: "\n \t\n", lambda: "word " * rng.randint(1, 60), lambda: "é🎉 ", lambda: "\n",
+    ]
+    texts = ["".join(rng.choice(make)() + rng.choice([" ", "", "\n"]) for _ in range(rng.randint(1, 25))) for _ in range(250)]
+    want = {i: linked_by_hand(t) for i, t in enumerate(texts)}
+    assert sum(map(len, want.values())) > 100
+    for r in scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect():
+        assert [(x.s, x.k, x.e) for x in r.linked] == want[r.doc_id], texts[r.doc_id]
+        assert sorted((x.s, x.k, x.e) for k in ("assign", "access", "hex") for x in r[k]) == [x[:3] for x in base_by_hand(texts[r.doc_id])]
+
+
+def test_many_matches_in_one_text(spark):
+    text = "password = abcd1234 https://a.example/x ABCD1234EFGH5678IJ\n" * 60_000
+    df = spark.createDataFrame([(1, text), (2, "nothing")], "doc_id long, text string")
+    got = {r.doc_id: (len(r.assign), len(r.linked), r.linked[-1].e if r.linked else 0) for r in scan_secrets(df).collect()}
+    assert got == {1: (60_000, 120_000, len(text) - 1), 2: (0, 0, 0)}
