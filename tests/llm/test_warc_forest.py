@@ -39,7 +39,7 @@ def test_round_trip(spark, tmp_path):
         assert sorted([tuple(r)[:5] for r in back], key=str) == expected([(p, h) for p, _, h in rows], least)
     uris = {r.page_id: r.target_uri for r in back}
     assert uris[2] == "about:blank" and "\n" in uris[3]
-    archive = max((tmp_path / "w0").glob("*.zst"), key=lambda p: p.stat().st_size).read_bytes()
+    archive = max((tmp_path / "w0").rglob("*.zst"), key=lambda p: p.stat().st_size).read_bytes()
     with pytest.raises(ValueError):
         list(op5.parsed(archive[:-3]))
     with pytest.raises(ValueError):
@@ -59,11 +59,32 @@ def test_dictionary_frame():
     for stored in (words, zstandard.ZstdCompressor().compress(words)):
         data = struct.pack("<II", op5.SKIPPABLE, len(stored)) + stored + frame * 3
         assert [r[0] for r in op5.parsed(data)] == [5, 5, 5]
-    with pytest.raises(Exception):
+    with pytest.raises(ValueError):
         list(op5.parsed(frame))  # without its dictionary
     for broken in (raw.replace(b"hello", b"hallo"), raw.replace(b"Content-Length: ", b"Content-Length: 1", 1), raw[:-1], b"x" + raw):
-        with pytest.raises((ValueError, KeyError)):
+        with pytest.raises(ValueError):
             op5.read_record(broken)
+    lines = raw.partition(b"\r\n\r\n")[0].split(b"\r\n")[1:]
+    for line in lines:
+        if not line.startswith((b"WARC-Date", b"Content-Type")):
+            with pytest.raises(ValueError):
+                op5.read_record(raw.replace(line + b"\r\n", b"", 1))
+    plain = zstandard.ZstdCompressor()
+    for broken in (raw.replace(b"Content-Length: 18", b"X-Length: 18", 1), raw.replace(b"WARC-Type: response", b"WARC-Type: revisit")):
+        with pytest.raises(ValueError):
+            list(op5.parsed(plain.compress(broken)))
+    for cut in range(1, len(whole := plain.compress(raw))):
+        with pytest.raises(ValueError):
+            list(op5.parsed(whole[:cut]))
+
+
+def test_archives_roll_over(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", "".join(chr(97 + (i * k) % 26) for k in range(3000)) + str(i)) for i in range(700)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    folder = tmp_path / "w"
+    assert sum(r.records for r in op5.write_archives(df, str(folder), archive_mb=0.02).collect()) == 700
+    assert len(list(folder.rglob("*.warc.zst"))) > 4 and all(p.stat().st_size < 90_000 for p in folder.rglob("*.warc.zst"))
+    assert sorted((tuple(r)[:5] for r in op5.read_archives(spark, str(folder)).collect()), key=str) == expected([(p, h) for p, _, h in rows])
 
 
 def test_pages(spark):

@@ -1,10 +1,10 @@
 """WARC archives of pages under Zstandard: one frame per record, the dictionary in a leading skippable frame.
 
 Writing: payload digests are grouped (partial aggregates) to find each payload's largest page_id; that page is the
-response, the others are revisits of it. Every partition becomes one archive, written under a temporary name and renamed,
-so a repeated task replaces its own file. Reading: Spark's binary reader fetches whole archives; each frame is decoded by
-itself with the archive's dictionary, and version line, header fields, block length, digests and record end are checked.
-A bad record is an error, never a skipped row.
+response, the others are revisits of it. Every partition becomes a folder of archives of about `archive_mb` each, written
+under a temporary name and renamed as a whole, so a repeated task replaces its own. Reading: Spark's binary reader fetches
+archives; each frame is decoded by itself with the archive's dictionary, and version line, header fields, block length,
+digests and record end are checked. A bad record is a ValueError, never a skipped row.
 
 Null html: an empty payload. Null ids: written without a number, a revisit wherever an equal payload has one. Repeated
 rows: each is a record; rows that share the largest page_id are all responses. An empty table gives an empty result.
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
+import itertools
 import struct
 import urllib.parse
 import uuid
@@ -63,7 +63,16 @@ def dictionary(samples: list[bytes], size: int = 16 << 10) -> bytes:
 
 
 def parsed(data: bytes):
-    """Rows of SCHEMA from one archive; ValueError on anything malformed."""
+    """Rows of SCHEMA from one archive, one record decoded at a time; ValueError on anything malformed."""
+    import zstandard
+
+    try:
+        yield from _decoded(data)
+    except (zstandard.ZstdError, struct.error) as e:
+        raise ValueError(f"a frame that cannot be decoded: {e}") from e
+
+
+def _decoded(data: bytes):
     import zstandard
 
     view, at, words = memoryview(data), 0, None
@@ -104,6 +113,10 @@ def read_record(raw: bytes) -> tuple:
         if not colon or k.lower() in fields:
             raise ValueError(f"bad header line {line!r}")
         fields[k.lower()] = v.strip()
+    if missing := {"warc-type", "warc-record-id", "warc-target-uri", "warc-payload-digest", "warc-block-digest", "content-length"} - fields.keys():
+        raise ValueError(f"no header field {min(missing)}")
+    if fields["warc-type"] not in ("response", "revisit") or fields["warc-type"] == "revisit" and not {"warc-profile", "warc-refers-to"} <= fields.keys():
+        raise ValueError("not a response, nor a revisit with its profile and origin")
     size = int(fields["content-length"])
     block = rest[:size]
     if len(block) != size or rest[size:] != b"\r\n\r\n":
@@ -111,7 +124,10 @@ def read_record(raw: bytes) -> tuple:
     if fields["warc-block-digest"] != f"sha1:{sha1_base32(block)}":
         raise ValueError("the block digest differs")
     http, _, payload = block.partition(b"\r\n\r\n")
-    length = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+    lengths = [int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+    if len(lengths) != 1:
+        raise ValueError("not one length of the payload")
+    length = lengths[0]
     kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
     number = lambda x: int(n) if (n := x.rpartition(":")[2].rstrip(">")) else None
     if kind == "response" and (len(payload) != length or sha1_base32(payload) != digest) or kind == "revisit" and (payload or fields["warc-profile"] != PROFILE):
@@ -119,31 +135,28 @@ def read_record(raw: bytes) -> tuple:
     return number(fields["warc-record-id"]), length, digest, kind, number(fields["warc-refers-to"]) if kind == "revisit" else None, urllib.parse.unquote(fields["warc-target-uri"])
 
 
-def placed(folder: str, name: str, parts) -> int:
-    """Write parts to folder/name: first under a temporary name. Folders are local or shared paths, or URIs that Arrow opens."""
-    size = 0
+def placed(folder: str, name: str, files) -> int:
+    """Write files (file name, its parts) to folder/name: first under a temporary name. Folders are local or shared paths, or URIs that Arrow opens."""
+    from pyarrow.fs import FileSystem, FileType, LocalFileSystem
+
     if folder.startswith("file:") or "://" not in folder:
-        path = "/" + folder.removeprefix("file:").lstrip("/")
-        os.makedirs(path, exist_ok=True)
-        with open(temporary := f"{path}/.{name}.{uuid.uuid4().hex}", "wb") as f:
+        fs, path = LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+    else:
+        fs, path = FileSystem.from_uri(folder)
+    size, temporary = 0, f"{path}/.{name}.{uuid.uuid4().hex}"
+    fs.create_dir(temporary)
+    for file, parts in files:
+        with fs.open_output_stream(f"{temporary}/{file}", compression=None) as f:  # else compressed by its name
             for p in parts:
                 size += f.write(p)
-        os.replace(temporary, f"{path}/{name}")
-        return size
-    from pyarrow.fs import FileSystem
-
-    fs, path = FileSystem.from_uri(folder)
-    fs.create_dir(path)
-    temporary = f"{path}/.{name}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(temporary) as f:
-        for p in parts:
-            size += f.write(p)
+    if fs.get_file_info(f"{path}/{name}").type != FileType.NotFound:  # of an attempt before
+        fs.delete_dir(f"{path}/{name}")
     fs.move(temporary, f"{path}/{name}")
     return size
 
 
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, level: int = 3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Writes at once; gives one row for each archive: name, records, bytes."""
+def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, level: int = 3, archive_mb: float = 256, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Writes at once; gives one row for each folder of archives: name, records, bytes."""
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
     tops = rows.groupBy("digest", "size").agg(F.max("page_id").alias("top"))
@@ -153,39 +166,51 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, level: int
     def written(batches):
         import zstandard
 
-        def framed():
-            encoder = None
+        def rows():
             for batch in batches:
-                page, url, html, digest, refers = (batch.column(i).to_pylist() for i in range(5))
-                if encoder is None:
-                    words = dictionary([x.encode()[:4096] for x in html[:128]])
-                    if words:
-                        yield struct.pack("<II", SKIPPABLE, len(words)) + words
-                    encoder = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(words) if words else None)
-                for p, u, h, d, r in zip(page, url, html, digest, refers):
-                    yield encoder.compress(record(p, u, h.encode(), base64.b32encode(bytes.fromhex(d)).decode(), r))
-                    count[0] += 1
-
-        count = [0]
-        name = f"part-{TaskContext.get().partitionId():05d}.warc.zst"
-        size = placed(folder, name, framed())
+                yield from zip(*(batch.column(i).to_pylist() for i in range(5)))
+
+        def archive(first: list):
+            """The parts of one archive, up to its size; rows that are left stay in `left`."""
+            words = dictionary([x[2].encode()[:4096] for x in first])
+            size = 0
+            if words:
+                yield struct.pack("<II", SKIPPABLE, len(words)) + words
+            encoder = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(words) if words else None)
+            for p, u, h, d, r in itertools.chain(first, left):
+                frame = encoder.compress(record(p, u, h.encode(), base64.b32encode(bytes.fromhex(d)).decode(), r))
+                yield frame
+                count[0] += 1
+                size += len(frame)
+                if size >= archive_mb * 1e6 and count[0] >= taken[0]:
+                    return
+
+        def archives():
+            while first := list(itertools.islice(left, 128)):
+                taken[0] = count[0] + len(first)
+                yield f"{len(made):05d}.warc.zst", archive(first)
+                made.append(None)
+
+        left, count, taken, made = rows(), [0], [0], []
+        name = f"part-{TaskContext.get().partitionId():05d}"
+        size = placed(folder, name, archives())
         yield pa.RecordBatch.from_pylist([{"name": name, "records": count[0], "bytes": size}])
 
     return settle(marked.mapInArrow(written, "name string, records long, bytes long"))
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """All records of the *.warc.zst files in folder, in any store that Spark reads."""
+    """All records of the *.warc.zst files in folder and the folders in it, in any store that Spark reads."""
 
     def records(batches):
         for batch in batches:
-            for data in batch.column(0):
-                rows = list(parsed(data.as_py()))
+            rows_of = itertools.chain.from_iterable(parsed(data.as_py()) for data in batch.column(0))
+            while rows := list(itertools.islice(rows_of, 1024)):
                 columns = list(zip(*rows)) or [()] * 6
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").option("recursiveFileLookup", "true").load(folder)
     return files.select("content").mapInArrow(records, SCHEMA)
 
 
