@@ -36,6 +36,7 @@ from weftline.llm.shared import settle, table
 AXES, SYMBOL, SYMBOLS = 32, 6, 8
 BITS = SYMBOL * SYMBOLS
 PROBES = 3
+SENT_CLASSES = 50_000
 #: Cosines at which shared prefixes are measured, on PAIRS random pairs each.
 GRID, PAIRS = np.linspace(0, 1, 21), 96
 HITS = "query_id long, rid long, score double"
@@ -173,7 +174,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 12, s
     """query_id, rank, vec_id, score: each query's k nearest found. is_query is an expression over the column vec_id.
     The number of queries, and of those held against all rows, is added to `report`."""
     spark = vectors.sparkSession
-    raw = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
+    column = F.col(f"`{vector_col}`")
+    exact_type = vectors.select(column.alias("v")).schema["v"].dataType.simpleString()
+    raw = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), (column if exact_type == "array<float>" else column.cast("array<double>")).alias("v"))
     wrong = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf)
     raw = raw.where(F.col("vec_id").isNotNull() & F.exists("v", lambda x: x != 0) & ~F.exists("v", wrong))
     dims = raw.agg(F.max(F.size("v"))).first()[0]
@@ -182,9 +185,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 12, s
         return empty
     rows = settle(raw.where(F.size("v") == dims).select("vec_id", "v", F.monotonically_increasing_id().alias("rid"), F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2")))
     # Norms relative to the largest component, so that squares neither vanish nor overflow.
-    top = rows.agg(F.max(F.array_max(F.transform("v", F.abs))).alias("m"), F.count(F.lit(1)).alias("n")).first()
+    top = rows.agg(F.max(F.array_max(F.transform("v", F.abs))).cast("double").alias("m"), F.count(F.lit(1)).alias("n")).first()
     unit = float(top.m)
-    limit = float(rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / unit) * (x / unit)))).first()[0])
+    limit = float(rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x.cast("double") / unit) * (x.cast("double") / unit)))).first()[0])
     cut = max(0, min(16, round(math.log2(max(1, top.n / bucket)))))
     # Classes of equal vectors with more than one row: the row that stands for each, and the ids that can matter.
     same = rows.groupBy("k1", "k2", "vec_id").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("c"))
@@ -192,6 +195,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 12, s
     place = F.row_number().over(W.partitionBy("k1", "k2").orderBy("vec_id"))
     lists = same.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("k1", "k2").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
     several = settle(several.join(lists, ["k1", "k2"]))
+    # Sent to all tasks up to SENT_CLASSES (of at most k + 1 ids each), so that vectors are not shuffled for them; joined beyond.
+    several = F.broadcast(several) if several.limit(SENT_CLASSES + 1).count() <= SENT_CLASSES else several
     index = rows.join(several, ["k1", "k2"], "left").where("rep is null or rep = rid").select("rid", "vec_id", "v", "members")
     queries = rows.where(is_query).groupBy("k1", "k2", F.col("vec_id").alias("query_id")).agg(F.first("v").alias("v")).select("query_id", "v")
     known_dims, symbols = dims + 1, max(1, -(-cut // SYMBOL))
