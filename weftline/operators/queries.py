@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.math import LOG_EPS, cosine, lgamma
+from weftline.operators import arrays
 from weftline.operators import components as K
 from weftline.operators.suffstats import scorers, sizes, suffstats
 from weftline.plans.model import Model
@@ -47,11 +48,8 @@ def cell_scores(model: Model, rows: DataFrame | None = None) -> DataFrame:
 
 
 def anomaly_scores(model: Model, rows: DataFrame | None = None) -> DataFrame:
-    """1 / (1 + exp(mean log p + 2)) by row, averaged over chains; 0.5 for a row without observed cells."""
-    rows = model.rows if rows is None else rows
-    per_chain = cell_scores(model, rows).groupBy("row_id", "chain").agg(F.avg("logp").alias("m"))
-    scored = per_chain.groupBy("row_id").agg(F.avg(1 / (1 + F.exp(c("m") + 2))).alias("anomaly"))
-    return rows.select("row_id").join(scored, "row_id", "left").select("row_id", F.coalesce("anomaly", F.lit(0.5)).alias("anomaly"))
+    """1 / (1 + exp(mean log p + 2)) by row, averaged over chains; 0.5 for a row without observed cells. Rows stay where they are."""
+    return arrays.anomalies(model, model.rows if rows is None else rows, scorers(model))
 
 
 def anomaly_cells(model: Model, rows: DataFrame | None = None) -> DataFrame:
