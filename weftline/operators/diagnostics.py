@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.plans.model import Model
 from weftline.plans.store import settle
 
 c = F.col
@@ -29,6 +31,18 @@ def adjusted_rand_index(labels: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return one.select(F.when((c("all") == 0) | (F.abs(top - expected) < 1e-12), F.when(same, 1.0).otherwise(0.0)).otherwise((c("both") - expected) / (top - expected)).alias("ari"))
 
 
+def row_ari(model: Model, truth: DataFrame, chain: int, view_id: int) -> DataFrame:
+    """Agreement of a view's clusters with true labels (row_id, label)."""
+    own = model.assigned().where((c("chain") == chain) & (c("view_id") == view_id)).select("row_id", c("cluster_id").alias("a"))
+    return adjusted_rand_index(own.join(truth.select("row_id", c("label").alias("b")), "row_id"))
+
+
+def column_ari(model: Model, truth: dict[int, int]) -> DataFrame:
+    """(chain, ari): agreement of each chain's views with true ones by col_id; as small as the model's column table."""
+    chains = [adjusted_rand_index(model.spark.createDataFrame([(model.views[ch, col], v) for col, v in truth.items()], "a int, b int")).select(F.lit(ch).alias("chain"), "ari") for ch in model.chains]
+    return reduce(DataFrame.unionAll, chains)
+
+
 def gelman_rubin(trace: DataFrame, flag_constant: bool = False) -> DataFrame:
     """(metric, rhat) of trace(chain, sweep, metric, value): split chains, at least 1; 1 where the within variance vanishes
     (NULL with flag_constant, if the chains then differ). Metrics with under 2 chains or 4 samples are an error."""

@@ -174,3 +174,14 @@ def suggest_max_clusters(n_rows: int) -> int:
     if n_rows < 0:
         raise ValueError("n_rows must not be negative")
     return min(32, max(4, math.isqrt(n_rows)))
+
+
+def split(df: DataFrame, keys: Sequence[str], share: float, seed: int = 0, out: str = "train") -> DataFrame:
+    """Marks about `share` of the rows; a row's side depends on the seed and its keys alone, so rows of one key stay together."""
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *(c(f"`{k}`").cast("string") for k in keys)).cast("binary")), 1, 8), 16, 10)
+    return df.withColumn(out, drawn.cast("double") / float(1 << 32) < share)
+
+
+def set_difference(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of a whose keys no row of b has; null keys are in no other table."""
+    return a.join(b.select(*keys).distinct(), [*keys], "left_anti")

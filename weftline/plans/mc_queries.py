@@ -38,8 +38,12 @@ def cdf_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evaluate_imputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = orders_model(spark, sf_dir)
     cells = model.rows.select("row_id", F.inline(F.array(*(F.struct(F.lit(s.name).alias("name"), F.col(s.name).alias("value")) for s in model.columns))))
-    held = cells.join(sampling.holdout_mask(model.rows, [s.name for s in model.columns], 0.02, 6), ["row_id", "name"])
-    return sampling.evaluate_imputation(model, held, 20, 7)
+    mask = sampling.holdout_mask(model.rows, [s.name for s in model.columns], 0.02, 6)
+    held = cells.join(mask, ["row_id", "name"])
+    # The cells held out go missing in the model: it is not to know what it is asked for.
+    gone = model.rows.join(mask.groupBy("row_id").agg(F.collect_set("name").alias("gone")), "row_id", "left")
+    rest = gone.withColumns({s.name: F.when(F.array_contains("gone", s.name), None).otherwise(F.col(s.name)) for s in model.columns}).select(*model.rows.columns)
+    return sampling.evaluate_imputation(model.with_(rows=rest), held, 20, 7)
 
 
 def sweep_synchronous(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -366,4 +366,62 @@ def q_events(spark, sf):
     return ss.groupBy("cluster_id").agg(pick(0, "n").alias("n"), F.round(pick(0, "sx"), 3).alias("sx"), r6(pick(1, "ssin")).alias("ssin"), r6(pick(1, "scos")).alias("scos"))
 
 
+@query("train_holdout", "SELECT o_orderkey, CAST('0x' || substr(md5('7|' || CAST(o_custkey AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < 0.8 AS train FROM orders")
+def q_split(spark, sf):
+    return ingest.split(spark.read.parquet(f"{sf}/orders.parquet"), ["o_custkey"], 0.8, 7).select("o_orderkey", "train")
+
+
+@query("set_difference", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def q_difference(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select(c("o_custkey").alias("c_custkey"))
+    return ingest.set_difference(spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey"), orders, ["c_custkey"])
+
+
+@query("regression_metrics", "WITH t AS (SELECT CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) * 1500 AS g FROM lineitem) SELECT round(avg(abs(g - y)), 4) AS mae, round(sqrt(avg((g - y) * (g - y))), 4) AS rmse, round(avg(g - y), 4) AS bias, round(1 - sum((g - y) * (g - y)) / (var_pop(y) * count(y)), 6) AS r2, round(corr(y, g), 6) AS pearson, round(sqrt(avg((g - y) * (g - y))) / stddev_pop(y), 6) AS nrmse, round(avg(CASE WHEN y BETWEEN g - 9000 AND g + 9000 THEN 1.0 ELSE 0.0 END), 6) AS coverage, round(avg(18000.0), 4) AS width FROM t")
+def q_regression(spark, sf):
+    t = spark.read.parquet(f"{sf}/lineitem.parquet").select(c("l_extendedprice").cast("double").alias("y"), (c("l_quantity").cast("double") * 1500).alias("g"))
+    got = diagnostics.regression_metrics(t.withColumns({"lo": c("g") - 9000, "hi": c("g") + 9000}), "y", "g", "lo", "hi")
+    return got.select(*(F.round(x, 4 if x in ("mae", "rmse", "bias", "width") else 6).alias(x) for x in got.columns))
+
+
+ORDER_NAMES = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+
+
+@query("informative_columns", "WITH t AS (" + " UNION ALL ".join(f"SELECT '{n}' AS name, count(DISTINCT {n}) AS d, count(*) AS n FROM orders" for n in ORDER_NAMES) + ") SELECT name FROM t WHERE 1 < d AND d < n")
+def q_informative(spark, sf):
+    return spark.createDataFrame([(n,) for n in ingest.drop_uninformative(spark.read.parquet(f"{sf}/orders.parquet"), ORDER_NAMES)], "name string")
+
+
+@query("column_coverage", "o AS (SELECT 1), t AS (" + " UNION ALL ".join(f"SELECT '{n}' AS name, count({n}) * 1.0 / count(*) AS share FROM base" for n in ("total", "bal", "priority")) + ") SELECT name FROM t WHERE share >= 0.88")
+def q_coverage(spark, sf):
+    return spark.createDataFrame([(n,) for n in ingest.coverage(orders_rows(spark, sf), ["total", "bal", "priority"], 0.88)], "name string")
+
+
+@query("missing_correlation", "o AS (SELECT 1), m AS (SELECT CASE WHEN total IS NULL THEN 1.0 ELSE 0.0 END AS a, CASE WHEN bal IS NULL THEN 1.0 ELSE 0.0 END AS b, CASE WHEN priority IS NULL THEN 1.0 ELSE 0.0 END AS p FROM base), t AS (SELECT 'total' AS a, 'bal' AS b, corr(a, b) AS r FROM m UNION ALL SELECT 'total', 'priority', corr(a, p) FROM m UNION ALL SELECT 'bal', 'priority', corr(b, p) FROM m) SELECT a, b, round(r, 6) AS r FROM t WHERE abs(r) > 0.05")
+def q_missing(spark, sf):
+    return ingest.missing_correlation(orders_rows(spark, sf), ["total", "bal", "priority"], 0.05).select("a", "b", r6(c("r")).alias("r"))
+
+
+@query("top_values", "SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY ALL ORDER BY n DESC, value LIMIT 3")
+def q_top_values(spark, sf):
+    return ingest.top_values(spark.read.parquet(f"{sf}/orders.parquet"), "o_orderpriority", 3)
+
+
+@query("duplicate_rows", "SELECT CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (SELECT l_suppkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL)")
+def q_duplicates(spark, sf):
+    return ingest.duplicate_rows(spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_linenumber"))
+
+
+@query("regimes", "SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY round(CAST(c_acctbal AS DOUBLE) / 1000, 0), c_nationkey) - 1 AS INT) AS regime FROM customer")
+def q_regimes(spark, sf):
+    t = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", (c("c_acctbal").cast("double") / 1000).alias("k"), "c_nationkey")
+    return ingest.regimes(t, ["k", "c_nationkey"]).select("c_custkey", "regime")
+
+
+@query("row_ari", SQL["adjusted_rand_index"].replace("SELECT a.cluster_id AS a, b.cluster_id AS b FROM parts a JOIN parts b ON a.row_id = b.row_id AND a.chain = 3 AND a.view_id = 1 AND b.chain = 0 AND b.view_id = 1", "SELECT a.cluster_id AS a, b.nation AS b FROM parts a JOIN base b ON a.row_id = b.row_id AND a.chain = 1 AND a.view_id = 0"))
+def q_row_ari(spark, sf):
+    model = orders_model(spark, sf)
+    return diagnostics.row_ari(model, model.rows.select("row_id", c("nation").alias("label")), 1, 0).select(r6(c("ari")).alias("ari"))
+
+
 assert set(VIEWS.values()) == {0, 1}
