@@ -13,7 +13,8 @@ from weftline.functions import math as M
 from weftline.operators import components as K
 from weftline.operators import constraints, diagnostics, ingest, sampling
 from weftline.operators import queries as Q
-from weftline.operators.sampler import ExactView, drawn_batch, fit, initialize, row_kernel_exact, sweep
+from weftline.operators.arrays import gumbels
+from weftline.operators.sampler import ExactView, drawn_batch, fit, initialize, row_kernel, row_kernel_exact, sweep
 from weftline.operators.suffstats import add, leveled
 from weftline.plans import queries as P
 from weftline.plans import store
@@ -22,7 +23,7 @@ from weftline.sources import files, synthetic
 from weftline.streaming.insert import insert_rows, insert_stream, sample_and_insert
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["suffstats", "log_marginal_ordinal", "anomaly_score", "joint_probability_conditioned", "cdf_discrete", "classify", "fingerprint_similarity", "segment_profile", "rhat", "ess", "guess_column_types", "profile"]
+SAMPLE = ["suffstats", "log_marginal_ordinal", "anomaly_score", "joint_probability_conditioned", "cdf_discrete", "classify", "fingerprint_similarity", "segment_profile", "rhat", "mean_log_likelihood", "row_constraints", "regression_metrics", "train_holdout", "guess_column_types", "profile"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)
@@ -237,3 +238,35 @@ def test_minibatch_is_the_exact_kernel_on_drawn_rows(spark):
     assert labels(row_kernel_exact(model, 12, 60, most_rows=1000)) == want != labels(model)
     with pytest.raises(ValueError):
         row_kernel_exact(model, 12, most_rows=1000)
+
+
+def test_row_kernel_is_the_left_out_conditional(spark):
+    """Every row's draw against the sequential kernel's scores, with the row taken out and the same noise."""
+    model = orders_model(spark, SF)
+    new = {(r.row_id, r.chain, r.view_id): r.cluster_id for r in row_kernel(model, 8).assigned().select("row_id", "chain", "view_id", "cluster_id").collect()}
+    rows, moved, clear = model.assigned().toPandas(), 0, 0
+    assert len(new) == len(rows)
+    for (chain, view), pdf in rows.groupby(["chain", "view_id"]):
+        own = [s for s in model.columns if model.views[chain, s.col_id] == view]
+        x, z = pdf[[s.name for s in own]].to_numpy(dtype=float), pdf["cluster_id"].to_numpy()
+        state = ExactView(x, z, own, [model.hypers[chain, s.col_id] for s in own], 1.0)
+        names, noise = np.unique(z), gumbels(8, pdf["row_id"].to_numpy(), chain, view, int(z.max()) + 1)
+        for i, row in enumerate(pdf["row_id"]):
+            cells = [j for j in range(len(own)) if not np.isnan(x[i, j])]
+            got, k = new[row, chain, view], state.z[i]
+            moved += got != z[i]
+            if not cells:
+                assert got == z[i]
+                continue
+            score = np.log(np.maximum(state.n - (np.arange(len(names)) == k), 1e-300)) + noise[i, names]
+            for j in cells:
+                stats = state.s[j].copy()
+                stats[k] -= state.stat(j, x[i : i + 1, j])[0]
+                score += state.logp(j, x[i, j], stats)
+            top = np.sort(score)
+            if len(top) < 2 or top[-1] - top[-2] > 1e-6:
+                assert got == names[score.argmax()]
+                clear += 1
+    assert moved > 1000 and clear > 0.9 * len(rows)
+    again = row_kernel(model.with_(rows=model.rows.repartition(7)), 8).assigned()
+    assert {(r.row_id, r.chain, r.view_id): r.cluster_id for r in again.collect()} == new

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.math import gumbel, uniform
+from weftline.operators import arrays
 from weftline.operators import components as K
 from weftline.operators.ingest import suggest_max_clusters
 from weftline.operators.queries import CLUSTER, log_joint
@@ -81,36 +82,10 @@ def _without_cell(stats: DataFrame) -> DataFrame:
     return sc.join(loo, [*CLUSTER, "col_id"], "left")
 
 
-def _logp_left_out() -> Column:
-    """ln p(x) under its own cluster without itself, from a row of _without_cell."""
-    x = c("x")
-    n, sx, sxx = c("n") - 1, c("sx") - x, F.greatest(c("sxx") - x * x, F.lit(0.0))
-    r, nu = c("r") + n, c("nu") + n
-    mean = sx / F.greatest(n, F.lit(1))
-    v = F.greatest(F.when(n > 0, c("nu") * c("s") + sxx - sx * mean + c("r") * n * (c("mu") - mean) * (c("mu") - mean) / r).otherwise(c("nu") * c("s")), F.lit(1e-30))
-    scale2 = v / nu * (1 + 1 / r)
-    d = x - (c("r") * c("mu") + sx) / r
-    from weftline.functions.math import LN_2PI, lgamma, log_i0
-
-    student = lgamma((nu + 1) / 2) - lgamma(nu / 2) - 0.5 * F.log(nu * math.pi * scale2) - (nu + 1) / 2 * F.log1p(d * d / (nu * scale2))
-    a = c("kappa") * (c("scos") - F.cos(x)) + c("vm_a") * F.cos("vm_mu")
-    b = c("kappa") * (c("ssin") - F.sin(x)) + c("vm_a") * F.sin("vm_mu")
-    cyclic = c("kappa") * F.cos(x - F.atan2(b, a)) - LN_2PI - log_i0(c("kappa"))
-    code = F.when(c("stat_type") == K.BINARY, F.when(x > 0.5, 1).otherwise(0)).otherwise(x.cast("int"))
-    return F.when(c("stat_type") == K.CONTINUOUS, student).when(c("stat_type") == K.CYCLIC, cyclic).otherwise(F.get("loo", code))
-
-
 def row_kernel(model: Model, seed: int) -> Model:
-    """Every row drawn at once from its leave-one-out conditional over the existing clusters (no births; approximate)."""
-    table = _without_cell(suffstats(model)).withColumnRenamed("cluster_id", "candidate")
-    table = table.withColumnRenamed("name", "column_name")
-    scored = model.cells().join(table, ["chain", "view_id", "col_id"]).withColumn("logp", F.when(c("candidate") == c("cluster_id"), _logp_left_out()).otherwise(K.cell_logp(c("x"))))
-    total = scored.groupBy("row_id", "chain", "view_id", "cluster_id", "candidate").agg(F.sum("logp").alias("logp"))
-    counted = total.join(sizes(model).withColumnRenamed("cluster_id", "candidate"), ["chain", "view_id", "candidate"])
-    left = c("n_rows") - (c("candidate") == c("cluster_id")).cast("long")
-    score = F.when(left > 0, F.log(left.cast("double"))).otherwise(-1e18) + c("logp") + gumbel(seed, "row_id", "chain", "view_id", "candidate")
-    drawn = counted.withColumn("score", score).groupBy("row_id", "chain", "view_id").agg(F.max_by("candidate", "score").alias("cluster_id"))
-    return _moved(model, drawn)
+    """Every row drawn at once from its leave-one-out conditional over the existing clusters (no births; approximate).
+    Scoring, noise and the choice are one pass over the rows where they lie."""
+    return model.with_(rows=settle(arrays.drawn_rows(model, seed, _without_cell(suffstats(model)), sizes(model))))
 
 
 def _moved(model: Model, drawn: DataFrame) -> Model:
