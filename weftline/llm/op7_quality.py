@@ -30,6 +30,8 @@ PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 PREFIXES = (4, 5)
 UPPER, DIGITS, SYMBOLS = bytes(range(65, 91)), bytes(range(48, 58)), b"*%&#$<>{}~^_=+\\"
 GROUPS = 6
+#: Rows of a batch whose texts, hashes and features a worker holds at once.
+SLICE = 256
 #: The value of a bin's feature where words have 1: a few bins must outweigh the many words of a long document.
 BIN_VALUE = 5.0
 #: Squared z scores up to CHANCE are what random words of a few thousand reach; LEAST bounds the penalty of those.
@@ -117,8 +119,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col:
 
     def featured(batches):
         for batch in batches:
-            index, ends = features(encoded(batch.column(2)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([index[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], ["doc_id", "grade", "index"])
+            for a in range(0, batch.num_rows, SLICE):
+                part = batch.slice(a, SLICE)
+                index, ends = features(encoded(part.column(2)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([index[i:j].tobytes() for i, j in zip(ends, ends[1:])], pa.binary())], ["doc_id", "grade", "index"])
 
     one = texts.mapInArrow(featured, "doc_id long, grade int, index binary").groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("index").alias("index"))
     rows = sorted((g, bytes(i)) for g, i in one.select("grade", "index").toLocalIterator())
@@ -136,12 +140,11 @@ def score_quality(docs: DataFrame, model: Ordinal | None, cut: float = 0.5, id_c
         return source.select("row", "doc_id", F.lit(float(GRADES - 1)).alias("expected_grade"), F.lit(1.0).alias("tail"), F.lit(True).alias("keep"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("expected_grade double, tail double")
-    def scored(texts):
-        import pandas as pd
-
-        expected, tail = sent.value.score(*features([(x or "").encode() for x in texts]))
-        return pd.DataFrame({"expected_grade": expected, "tail": tail})
+    @F.arrow_udf("expected_grade double, tail double")
+    def scored(texts: pa.Array) -> pa.Array:
+        done = [sent.value.score(*features(encoded(texts.slice(a, SLICE)))) for a in range(0, len(texts), SLICE)]
+        expected, tail = (np.concatenate(x) for x in zip(*done)) if done else (np.zeros(0), np.zeros(0))
+        return pa.StructArray.from_arrays([pa.array(expected), pa.array(tail)], ["expected_grade", "tail"])
 
     return source.withColumn("s", scored("text")).select("row", "doc_id", "s.expected_grade", "s.tail", (F.col("s.tail") >= cut).alias("keep"))
 

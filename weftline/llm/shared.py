@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 MIX_A = np.uint64(0x9E3779B97F4A7C15)
 MIX_B = np.uint64(0xC2B2AE3D27D4EB4F)
 STEP = 0x100000001B3
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
