@@ -18,6 +18,7 @@ from weftline.operators import arrays
 from weftline.operators import components as K
 from weftline.operators.suffstats import scorers, sizes, suffstats
 from weftline.plans.model import Model
+from weftline.plans.store import settle
 
 c = F.col
 CLUSTER = ["chain", "view_id", "cluster_id"]
@@ -61,6 +62,16 @@ def top_anomalies(scores: DataFrame, n: int) -> DataFrame:
     return scores.orderBy(F.desc("anomaly"), "row_id").limit(n)
 
 
+def anomaly_ranks(scores: DataFrame) -> DataFrame:
+    """scores with rank_share, the share of rows whose score is lower. Equal scores are counted first and ranges of scores
+    after that, so no task holds them all."""
+    by = settle(scores.groupBy("anomaly").agg(F.count(F.lit(1)).alias("k")).repartitionByRange("anomaly").withColumn("part", F.spark_partition_id()))
+    before = lambda w: F.coalesce(F.sum("k").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = by.groupBy("part").agg(F.sum("k").alias("k")).select("part", before(W.orderBy("part")).alias("start"), F.sum("k").over(W.partitionBy()).alias("all"))  # a row for each range
+    ranks = by.withColumn("below", before(W.partitionBy("part").orderBy("anomaly"))).join(starts, "part")
+    return scores.join(ranks.select("anomaly", ((c("start") + c("below")) / c("all")).alias("rank_share")), "anomaly")
+
+
 def anomaly_thresholds(scores: DataFrame, percentile: float = 0.95, sigmas: float = 2.0) -> DataFrame:
     """Cut-offs by percentile, mean + sigmas * sd, and upper quartile + 1.5 interquartile ranges."""
     q = scores.agg(F.percentile("anomaly", F.array(F.lit(percentile), F.lit(0.25), F.lit(0.75))).alias("q"), F.avg("anomaly").alias("mean"), F.stddev_pop("anomaly").alias("sd"))
@@ -229,6 +240,10 @@ def dependence(model: Model) -> DataFrame:
     return both.groupBy(c("a.col_id").alias("col_i"), c("b.col_id").alias("col_j")).agg(F.avg((c("a.view_id") == c("b.view_id")).cast("double")).alias("dependence"))
 
 
+def top_dependence(model: Model, k: int) -> DataFrame:
+    return dependence(model).orderBy(F.desc("dependence"), "col_i", "col_j").limit(k)
+
+
 def column_typicality(model: Model) -> DataFrame:
     """1 - entropy / ln(number of others) of a column's co-occurrence with the others; 0.5 with one chain or no mass."""
     n = len(model.columns) - 1

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from weftline.functions.math import gumbel, uniform
 from weftline.operators import arrays
 from weftline.operators import components as K
+from weftline.operators.constraints import check_row_constraints
 from weftline.operators.ingest import suggest_max_clusters
 from weftline.operators.queries import CLUSTER, log_joint
 from weftline.operators.suffstats import sizes, suffstats
@@ -406,3 +407,14 @@ def enforce_columns(model: Model, constraints: Sequence[tuple[int, int, bool]],
     if not ok(model):
         raise ValueError(f"not satisfied after {attempts} sweeps")
     return model, attempts
+
+
+def enforce_rows(model: Model, constraints: DataFrame, view_id: int | None = None, attempts: int = 20, seed: int = 0, kernels: Sequence[str] = ("rows",)) -> tuple[Model, int]:
+    """Sweeps until every chain satisfies the row constraints (row_a, row_b, dependent), in all views or the one given; the
+    model and the number of sweeps, or ValueError after the last attempt."""
+    for k in range(attempts + 1):
+        if check_row_constraints(model, constraints, view_id).where("not satisfied").isEmpty():
+            return model, k
+        if k < attempts:
+            model = sweep(model, seed + k, kernels)
+    raise ValueError(f"not satisfied after {attempts} sweeps")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import sampling
+from weftline.operators import information, sampling
 from weftline.operators.sampler import fit, initialize, row_kernel, sweep
 from weftline.plans.fixtures import SPECS, orders_model, orders_rows
 from weftline.streaming.insert import insert_rows
@@ -31,6 +31,10 @@ def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.mutual_information(orders_model(spark, sf_dir), [(0, 1), (2, 3), (4, 5)], 500, 4)
 
 
+def conditional_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return information.conditional_entropy(orders_model(spark, sf_dir), 0, [1, 2], 1000, 13)
+
+
 def cdf_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.cdf(sampling.sample(orders_model(spark, sf_dir), [0], 2000, 5), ["name"], 150000.0)
 
@@ -65,4 +69,4 @@ def minibatch_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep(orders_model(spark, sf_dir), 12, ("rows",), batch_size=200).assigned().groupBy("chain", "view_id", "cluster_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-QUERIES = {f.__name__: f for f in (predictive_sample, credible_interval, impute_continuous, mutual_information, cdf_continuous, evaluate_imputation, sweep_synchronous, fit_chains, insert_batch, minibatch_sweep)}
+QUERIES = {f.__name__: f for f in (predictive_sample, credible_interval, impute_continuous, mutual_information, conditional_entropy, cdf_continuous, evaluate_imputation, sweep_synchronous, fit_chains, insert_batch, minibatch_sweep)}

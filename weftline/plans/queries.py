@@ -83,6 +83,12 @@ def q_anomaly_top(spark, sf):
     return Q.top_anomalies(scores, 50).select("row_id", r6(c("anomaly")).alias("anomaly"))
 
 
+@query("anomaly_ranks", ANOMALY + "SELECT row_id, round((rank() OVER (ORDER BY round(anomaly, 9)) - 1) * 1.0 / count(*) OVER (), 6) AS rank_share FROM an")
+def q_anomaly_ranks(spark, sf):
+    scores = Q.anomaly_scores(orders_model(spark, sf)).withColumn("anomaly", F.round("anomaly", 9))
+    return Q.anomaly_ranks(scores).select("row_id", r6(c("rank_share")).alias("rank_share"))
+
+
 @query("anomaly_cells", f"scored AS ({logp_sql('cells')}), m AS (SELECT row_id, col_id, avg(logp) AS logp FROM scored GROUP BY ALL) SELECT row_id, col_id, round(logp, 6) AS logp, row_number() OVER (PARTITION BY row_id ORDER BY logp, col_id) AS place FROM m")
 def q_anomaly_cells(spark, sf):
     return Q.anomaly_cells(orders_model(spark, sf)).select("row_id", "col_id", r6(c("logp")).alias("logp"), c("place").cast("long").alias("place"))
@@ -191,6 +197,11 @@ def q_dependence(spark, sf):
     return Q.dependence(orders_model(spark, sf))
 
 
+@query("top_dependence", DEP + " SELECT * FROM dep ORDER BY dependence DESC, col_i, col_j LIMIT 5")
+def q_top_dependence(spark, sf):
+    return Q.top_dependence(orders_model(spark, sf), 5)
+
+
 @query("column_typicality", DEP + ", two AS (SELECT col_i AS col_id, dependence AS d FROM dep UNION ALL SELECT col_j, dependence FROM dep), p AS (SELECT col_id, d / sum(d) OVER (PARTITION BY col_id) AS p FROM two) SELECT names.col_id, name, round(1 - sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) / ln(5.0), 6) AS typicality FROM p JOIN names ON names.col_id = p.col_id GROUP BY ALL")
 def q_column_typicality(spark, sf):
     return Q.column_typicality(orders_model(spark, sf)).select("col_id", "name", r6(c("typicality")).alias("typicality"))

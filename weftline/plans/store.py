@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,13 @@ VERSION = 1
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder named by spark.checkpoint.dir; a temporary one only where none is set."""
+    """Cut lineage in the folder named by spark.checkpoint.dir; a temporary one only in local mode where none is set."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftline-"))
+        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-"))
     return df.checkpoint(eager=True)
 
 

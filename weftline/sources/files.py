@@ -35,6 +35,13 @@ def read_csv(spark: SparkSession, path: str, has_header: bool = True, missing: S
     return values, bad
 
 
+def read_csv_chunked(spark: SparkSession, path: str, chunk_size: int = 10_000, has_header: bool = True, missing: Sequence[str] = MISSING) -> tuple[DataFrame, DataFrame]:
+    """read_csv: files are split by Spark, so chunk_size has no part in it but must be positive."""
+    if chunk_size < 1:
+        raise ValueError("chunk_size must be positive")
+    return read_csv(spark, path, has_header, missing)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
@@ -185,3 +192,14 @@ def save_npy(df: DataFrame, path: str) -> str:
     with open(path + ".json", "w", encoding="utf-8") as f:
         json.dump(df.columns, f)
     return path
+
+
+def save_npz(df: DataFrame, path: str) -> str:
+    warnings.warn("use save_npy", DeprecationWarning, stacklevel=2)
+    return save_npy(df, path)
+
+
+def load_npz_mmap(spark: SparkSession, path: str) -> DataFrame:
+    warnings.warn('use the format "npy"', DeprecationWarning, stacklevel=2)
+    register(spark)
+    return spark.read.format("npy").load(path)
